@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, topk
+from . import bpe, mixing, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
+        "op2_simhash": simhash.query,
+        "op3_quality": quality.query,
+        "op4_mixing": mixing.query,
+        "op6_bpe": bpe.query,
         "op8_secrets": secrets.query,
         "op10_topk": topk.query,
     }
