@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, secrets, sharding, simhash, topk
+from . import bpe, minhash, mixing, quality, secrets, sharding, simhash, topk
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality": quality.query,
         "op4_mixing": mixing.query,
         "op6_bpe": bpe.query,
+        "op7_minhash": minhash.query,
         "op8_secrets": secrets.query,
         "op10_topk": topk.query,
     }
