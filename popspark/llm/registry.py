@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, mixing, quality, secrets, sharding, simhash, topk
+from . import bpe, minhash, mixing, pii, quality, scoring, secrets, sharding, simhash, topk
 
 
 def queries() -> dict:
@@ -11,9 +11,11 @@ def queries() -> dict:
         "op2_simhash": simhash.query,
         "op3_quality": quality.query,
         "op4_mixing": mixing.query,
+        "op5_pii": pii.query,
         "op6_bpe": bpe.query,
         "op7_minhash": minhash.query,
         "op8_secrets": secrets.query,
+        "op9_scoring": scoring.query,
         "op10_topk": topk.query,
     }
 
