@@ -28,7 +28,7 @@ SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 def _spans(text: Column, pattern: str, kind: int, keep, groups: int = 2) -> Column:
     """Leftmost non-overlapping matches that keep(match, last group) accepts; the rest is dropped without a retry."""
-    whole = F.lit(rf"(?s)(.*?)({pattern})")
+    whole = F.lit(rf"\G(?s)(.*?)({pattern})")  # \G: where no further match begins, no later start is tried
     gaps, hits, parts = (F.regexp_extract_all(text, whole, F.lit(i)) for i in (1, 2, groups))
     items = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), parts.alias("part"))
 
