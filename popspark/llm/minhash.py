@@ -6,9 +6,10 @@ square root of what separate tables would take. A pair meets in some table if it
 at similarity 0.8 it is missed with probability 0.003, at 0.85 with 0.0003.
 
 Equal sets are one vertex from the start, so copies cost one row each. Half-keys that no other set shares are dropped
-before tables are formed. In a table's bucket, sets are first compared with one hub; only sets of the bucket that this
-leaves in different components are then compared pair by pair, so that a large group of near copies costs a comparison a
-member, and no link that decides a component is skipped. Every link is confirmed on the full shingle sets.
+before tables are formed. In a table's bucket, every set is compared with one hub; of the pairs that this leaves in
+different components only those are compared that can be linked at all, given what either shares with the hub: a large
+group of near copies costs about a comparison a member, and no link that decides a component is skipped. Every link is
+confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         now = after.select("v", "label", "own")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; more columns are ignored).
 
     Words: runs of anything but ASCII white space, A-Z in lower case. Rows are linked if 100 |A n B| >= percent |A u B| on
@@ -122,7 +123,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     signed = materialise(rows.mapInArrow(_signatures(width), "doc_id long, n_shingles long, v binary, keys array<long>"), "signatures")
     named = signed.where("doc_id is not null and v is not null")
-    vertex = materialise(named.groupBy("v").agg(F.min("doc_id").alias("label"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "vertices")
+    vertex = materialise(named.groupBy("v").agg(F.min("doc_id").alias("label"), F.first("keys").alias("keys")), "vertices")
 
     # half-keys that two sets share at least
     each = vertex.select("v", F.posexplode("keys").alias("slot", "half")).select("v", "slot", F.xxhash64("slot", "half").alias("half"))
@@ -132,45 +133,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     crossed = live.select("v", left.alias("l"), right.alias("r")).where("size(l) > 0 and size(r) > 0")
     keyed = crossed.select("v", F.explode("l").alias("l"), "r").select("v", "l", F.explode("r").alias("r")).select("v", F.xxhash64("l", "r").alias("key"))
     keyed = materialise(keyed, "tables")
-    full = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")).where("c > 1").drop("c")
-    bucket = materialise(keyed.join(full, "key").select("key", "v", "low", "high"), "buckets")
-
-    found = materialise(bucket.select("v").distinct().join(vertex.select("v", "label", "n"), "v"), "candidates")
+    # the hub of a bucket is its set that meets most others, over all buckets: the middle of its group
+    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    bucket = materialise(keyed.join(counts, "key"), "buckets")
+    weight = bucket.groupBy("v").agg(F.sum("c").alias("weight"))
+    hubs = bucket.join(weight, "v").groupBy("key").agg(F.max(F.struct("weight", "v"))["v"].alias("hub"))
+    star = materialise(bucket.join(hubs, "key").select("hub", "v").where("hub <> v").distinct(), "star")
+
+    found = materialise(bucket.select("v").distinct().join(vertex.select("v", "label"), "v"), "candidates")
     # a text of each candidate set: any row with its doc_id and identity has it
     texts = rows.join(found.select("v", F.col("label").alias("doc_id")).join(named.select("doc_id", "v").distinct(), ["doc_id", "v"]), "doc_id")
     members = texts.select("v", "text").mapInArrow(_sets(width), "v binary, members array<long>")
     members = materialise(members.where(F.size("members") > 0).groupBy("v").agg(F.first("members").alias("members")), "sets")
-    sizes = found.select("v", "n")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """a, b: the pairs that are linked."""
-        pairs = pairs.join(sizes.select(F.col("v").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("v").alias("b"), F.col("n").alias("nb")), "b")
-        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        sets = pairs.join(members.select(F.col("v").alias("a"), F.col("members").alias("sa")), "a").join(members.select(F.col("v").alias("b"), F.col("members").alias("sb")), "b")
-        both = F.size(F.array_intersect("sa", "sb"))
-        return sets.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
-
-    order = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    tested = None
-    label = found.select("v", "label")
-    links = None
-    for hub in ("low", "high")[:rounds]:
-        pairs = bucket.where(F.col("v") != F.col(hub)).select(*order("v", hub)).distinct()
-        pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = confirmed(pairs)
-        links = more if links is None else links.unionByName(more)
-    links = materialise(links, "links")
-    label = components(links, label)
-
-    # buckets that still hold several components: all pairs across them
-    with_label = bucket.select("key", "v").join(label, "v")
-    mixed = with_label.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = materialise(with_label.join(mixed, "key"), "rest")
-    x, y = (rest.select("key", F.col("v").alias(v), F.col("label").alias(n)) for v, n in (("x", "lx"), ("y", "ly")))
-    pairs = x.join(y, "key").where("lx < ly").select(*order("x", "y")).distinct().join(tested, ["a", "b"], "left_anti")
-    late = materialise(confirmed(materialise(pairs, "pairs")), "links")
+
+    def with_sets(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        for v, name in ((x, "sx"), (y, "sy")):
+            pairs = pairs.join(members.select(F.col("v").alias(v), F.col("members").alias(name)), v)
+        return pairs
+
+    def compared(pairs: DataFrame, x: str, y: str) -> DataFrame:
+        """The pairs with their full sets' sizes nx, ny, the size c of what they share, and whether that links them."""
+        sets = with_sets(pairs, x, y).select(x, y, F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("c"))
+        return sets.withColumn("linked", 100 * F.col("c").cast("long") >= percent * (F.col("nx") + F.col("ny") - F.col("c")))
+
+    star = materialise(compared(star, "v", "hub"), "compared")
+    links = star.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
+    label = components(links, found.select("v", "label"))
+
+    # Pairs of a hub's sets that lie in different components. x, not linked with the hub, and y share c(x, hub) shingles
+    # of the hub at most; to be linked they must share `need` in all, so either y is small enough for need <= c(x, hub),
+    # or they share shingles that the hub lacks, of which either must have as many as are missing.
+    near = star.select("hub", "v", F.col("nx").alias("n"), "c").join(label, "v").join(label.select(F.col("v").alias("hub"), F.col("label").alias("home")), "hub")
+    mixed = near.where("label <> home").select("hub").distinct()
+    near = materialise(near.join(mixed, "hub"), "near")
+    outside, inside = near.where("label <> home"), near
+    share = percent / (100 + percent)
+    need = F.ceil(share * (F.col("n_x") + F.col("n_y")) - 1e-9) - F.least("c_x", "c_y")
+    of = lambda df, end: df.select("hub", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in ("hub", "shingle")], *[c for c in df.columns if c == "shingle"])
+    low, high = F.ceil(F.col("n_x") * percent / 100.0 - 1e-9), F.floor(F.col("c_x") / share + 1e-9) - F.col("n_x")
+    small = of(outside, "x").where(low <= high).withColumn("n_y", F.explode(F.sequence(low, high))).withColumn("n_y", F.col("n_y").cast("int"))
+    small = small.join(of(inside, "y"), ["hub", "n_y"]).where((F.col("label_x") != F.col("label_y")) & (need <= 0))
+    own = materialise(with_sets(near, "v", "hub").select("hub", "v", "n", "c", "label", "home", F.explode(F.array_except("sx", "sy")).alias("shingle")), "own")
+    beside = of(own.where("label <> home"), "x").join(of(own, "y"), ["hub", "shingle"])
+    beside = beside.where((F.col("label_x") != F.col("label_y")) & (need <= F.least(F.col("n_x") - F.col("c_x"), F.col("n_y") - F.col("c_y"))))
+    order = [F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")]
+    pairs = materialise(small.select(*order).union(beside.select(*order)).distinct(), "pairs")
+    late = materialise(compared(pairs, "a", "b").where("linked").select("a", "b"), "links")
     if not late.isEmpty():
         label = components(links.unionByName(late), found.select("v", "label"))
 
