@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, table
@@ -162,7 +162,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     # Pairs of a hub's sets that lie in different components. x, not linked with the hub, and y share c(x, hub) shingles
     # of the hub at most; to be linked they must share `need` in all, so either y is small enough for need <= c(x, hub),
-    # or they share shingles that the hub lacks, of which either must have as many as are missing.
+    # or they share shingles that the hub lacks, as many as are missing. With these in one order, the rare first, the
+    # first one shared must leave either with enough to come.
     near = star.select("hub", "v", F.col("nx").alias("n"), "c").join(label, "v").join(label.select(F.col("v").alias("hub"), F.col("label").alias("home")), "hub")
     mixed = near.where("label <> home").select("hub").distinct()
     near = materialise(near.join(mixed, "hub"), "near")
@@ -174,8 +175,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     small = of(outside, "x").where(low <= high).withColumn("n_y", F.explode(F.sequence(low, high))).withColumn("n_y", F.col("n_y").cast("int"))
     small = small.join(of(inside, "y"), ["hub", "n_y"]).where((F.col("label_x") != F.col("label_y")) & (need <= 0))
     own = materialise(with_sets(near, "v", "hub").select("hub", "v", "n", "c", "label", "home", F.explode(F.array_except("sx", "sy")).alias("shingle")), "own")
+    often = own.groupBy("hub", "shingle").agg(F.count("*").alias("often"))
+    to_come = F.col("n") - F.col("c") - F.row_number().over(Window.partitionBy("hub", "v").orderBy("often", "shingle")) + 1
+    own = materialise(own.join(often, ["hub", "shingle"]).withColumn("left", to_come).where("often > 1").drop("often"), "own")
     beside = of(own.where("label <> home"), "x").join(of(own, "y"), ["hub", "shingle"])
-    beside = beside.where((F.col("label_x") != F.col("label_y")) & (need <= F.least(F.col("n_x") - F.col("c_x"), F.col("n_y") - F.col("c_y"))))
+    beside = beside.where((F.col("label_x") != F.col("label_y")) & (need <= F.least("left_x", "left_y")))
     order = [F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")]
     pairs = materialise(small.select(*order).union(beside.select(*order)).distinct(), "pairs")
     late = materialise(compared(pairs, "a", "b").where("linked").select("a", "b"), "links")
