@@ -24,6 +24,8 @@ MOST_COPIES = 3
 #: Rows of a hash bucket, about.
 BUCKET_ROWS = 2048
 SPACE = 1 << 31
+#: Up to so many sources their table is broadcast; beyond, joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def quotas(sizes: Sequence[int], weights: Sequence[float], share: float = 1.0, most: int = MOST_COPIES) -> list[float]:
@@ -122,6 +124,7 @@ def take(sized: DataFrame, amounts: DataFrame, seed: int = 5, bucket_rows: int =
     of a pattern is taken floor(amount / words) times, and a seeded subset once more, so that their words come up to
     the amount but for less than any further row of the last bucket.
     """
+    hint = F.broadcast if amounts.count() <= BROADCAST_ROWS else lambda x: x
     amounts = amounts.select(
         "pattern",
         F.when(F.col("words") > 0, F.expr("amount div words")).otherwise(F.lit(0)).alias("base"),
@@ -129,16 +132,16 @@ def take(sized: DataFrame, amounts: DataFrame, seed: int = 5, bucket_rows: int =
         F.greatest(F.lit(1), F.ceil(F.col("rows") / bucket_rows)).alias("buckets"),
     )
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SPACE))
-    rows = sized.select("pattern", "doc_id", "size", u.alias("u")).join(amounts, "pattern").withColumn("bucket", F.expr(f"u * buckets div {SPACE}"))
+    rows = sized.select("pattern", "doc_id", "size", u.alias("u")).join(hint(amounts), "pattern").withColumn("bucket", F.expr(f"u * buckets div {SPACE}"))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     # buckets that fit whole lie below the one in which the rest ends
     last = sums.where("before <= rest and before + words > rest").groupBy("pattern").agg(F.min("bucket").alias("last"), F.min_by(F.col("rest") - F.col("before"), "bucket").alias("room"))
-    rows = rows.join(last, "pattern", "left")
+    rows = rows.join(hint(last), "pattern", "left")
     whole = rows.where("last is null or bucket <> last").select("pattern", "doc_id", "size", (F.col("base") + F.when(F.col("bucket") < F.col("last"), 1).otherwise(0)).alias("copies"))
     edge = rows.where("bucket = last")
-    filled = edge.groupBy("pattern").applyInPandas(_fill, "pattern int, doc_id long, size long, extra int").join(amounts, "pattern").select("pattern", "doc_id", "size", (F.col("base") + F.col("extra")).alias("copies"))
+    filled = edge.groupBy("pattern").applyInPandas(_fill, "pattern int, doc_id long, size long, extra int").join(hint(amounts), "pattern").select("pattern", "doc_id", "size", (F.col("base") + F.col("extra")).alias("copies"))
     return whole.unionByName(filled)
 
 
@@ -160,9 +163,10 @@ def mix(docs: DataFrame, weight=lambda rank: 1.0 + rank % 3, share: float = 1.0,
         [(i, r["source"], r["rows"], r["words"], sum(routed[i].values()), targets[i]) for i, r in enumerate(sums)],
         "pattern int, source string, rows long, words long, amount long, target double",
     )
-    named = F.broadcast(plan.select("pattern", F.col("source").alias("name")))  # a row a source
+    hint = F.broadcast if len(sums) <= BROADCAST_ROWS else lambda x: x
+    named = hint(plan.select("pattern", F.col("source").alias("name")))
     taken = take(sized.join(named, sized["source"].eqNullSafe(F.col("name"))).select("pattern", "doc_id", "size"), plan.select("pattern", "rows", "words", "amount"), seed)
-    out = taken.join(F.broadcast(plan.select("pattern", "source", F.col("words").alias("source_size"), "target")), "pattern")
+    out = taken.join(hint(plan.select("pattern", "source", F.col("words").alias("source_size"), "target")), "pattern")
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
