@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Rows of one group, and entries of one page.
-GROUP, PAGE = 16384, 64
+GROUP, PAGE = 4096, 64
 
 
 class MTree:
@@ -149,7 +149,7 @@ def top_k(data: DataFrame, asked: DataFrame, rows: int, k: int = 5, group: int =
     held = data.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp"), "dim", F.lit(0).alias("is_query"), "vec_id", "v")
     every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     sent = asked.select(every.alias("grp"), "dim", F.lit(1).alias("is_query"), "vec_id", "v")
-    dealt = held.unionByName(sent).repartition(max(groups, 1), "grp").sortWithinPartitions("grp", "dim", "is_query")
+    dealt = held.unionByName(sent).repartition(2 * groups, "grp").sortWithinPartitions("grp", "dim", "is_query")
     found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
