@@ -34,7 +34,7 @@ PIECES = regex.compile(CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 RUNS = tuple(regex.compile(p) for p in (r"\p{L}+|", r"\p{N}+|", r"[^\s\p{L}\p{N}]+|", r"\s+(?!\S)|"))
 CLASS = tuple(regex.compile(p) for p in (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]", r"\s"))
 #: Characters of a chunk; characters behind a piece that settle it; pieces a cache holds, and their longest length.
-CHUNK, SETTLED, CACHED, SHORT = 1 << 16, 3, 300_000, 64
+CHUNK, SETTLED, CACHED, SHORT = 1 << 16, 3, 150_000, 64
 
 
 def byte_symbols() -> list[str]:

@@ -25,6 +25,8 @@ from .common import materialise, small_batches, table
 from .simhash import hashed_words, mix
 
 SIDE, HALF_WIDTH = 9, 3
+#: Up to so many ids (8 and 16 bytes each) are broadcast to where the texts are; beyond, texts are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Shingles hashed at once.
 BLOCK = 4096
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -60,6 +62,11 @@ def half_keys(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def identity(found: np.ndarray) -> bytes:
+    """128 bits that name a set: two sums over all its members."""
+    return np.array([mix(found).sum(dtype=np.uint64), mix(found ^ _K[4]).sum(dtype=np.uint64)]).tobytes()
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,8 +75,7 @@ def _signatures(width: int):
                 found = shingles(text.as_py() or "", width)
                 sizes.append(len(found))
                 if len(found):
-                    # the set's identity: two sums over all its members
-                    ids.append(np.array([mix(found).sum(dtype=np.uint64), mix(found ^ _K[4]).sum(dtype=np.uint64)]).tobytes())
+                    ids.append(identity(found))
                     keys.append(half_keys(found).view(np.int64))
                 else:
                     ids.append(None)
@@ -82,8 +88,9 @@ def _signatures(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t.as_py() or "", width).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["v", "members"])
+            found = [shingles(t.as_py() or "", width) for t in batch.column(1)]
+            same = [i for i, v in enumerate(batch.column(0).to_pylist()) if len(found[i]) and identity(found[i]) == v]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(same, pa.int64())), pa.array([found[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["v", "members"])
 
     return run
 
@@ -142,9 +149,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     found = materialise(bucket.select("v").distinct().join(vertex.select("v", "label"), "v"), "candidates")
     # a text of each candidate set: any row with its doc_id and identity has it
-    texts = rows.join(found.select("v", F.col("label").alias("doc_id")).join(named.select("doc_id", "v").distinct(), ["doc_id", "v"]), "doc_id")
+    wanted = found.select("v", F.col("label").alias("doc_id"))
+    hint = F.broadcast if found.count() <= BROADCAST_ROWS else lambda x: x
+    texts = rows.join(hint(wanted), "doc_id")
+    # rows that repeat a doc_id may bring another text: the identity tells
     members = texts.select("v", "text").mapInArrow(_sets(width), "v binary, members array<long>")
-    members = materialise(members.where(F.size("members") > 0).groupBy("v").agg(F.first("members").alias("members")), "sets")
+    members = materialise(members.groupBy("v").agg(F.first("members").alias("members")), "sets")
 
     def with_sets(pairs: DataFrame, x: str, y: str) -> DataFrame:
         for v, name in ((x, "sx"), (y, "sy")):
@@ -194,11 +204,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component, the one with the smallest doc_id; all columns are kept. Rows that repeat a kept doc_id stay once a text."""
-    marked = materialise(near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id")), "kept")
-    once = docs.join(marked, docs["doc_id"].eqNullSafe(marked["_id"]), "left_semi")
-    if marked.where("_id is not null").groupBy("_id").count().where("count > 1").isEmpty():
+    marked = materialise(near_duplicates(docs, width, percent).where("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept"), "kept")
+    ids = marked.groupBy("_id").agg(F.max("kept").alias("kept"), F.sum(F.col("kept").cast("int")).alias("n"))
+    gone = materialise(ids.where("not kept or n > 1"), "gone")
+    hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
+    once = docs.join(hint(gone.where("not kept")), docs["doc_id"] == F.col("_id"), "left_anti")
+    twice = gone.where("kept").select("_id")
+    if twice.isEmpty():
         return once
-    twice = marked.groupBy("_id").count().where("count > 1 and _id is not null").select("_id")
     repeated = once.join(twice, once["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
     return once.join(twice, once["doc_id"] == twice["_id"], "left_anti").unionByName(repeated)
 

@@ -157,17 +157,18 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
     return materialise(known.select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold), "terms")
 
 
-def find(docs: DataFrame, terms: DataFrame | None = None, size: int = SLICE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, terms: DataFrame | None = None, size: int = SLICE, remove: float = REMOVE, finish=None, schema=None) -> DataFrame:
     """docs with _found: flat (kind, start, stop, removed) of all spans, base ones first by kind and start, then terms by start.
 
     Every row and column of docs stays; null text counts as empty. terms: as of disclosing_terms(docs), the default.
+    finish(batch of docs, spans) makes batches of another schema instead, in the same pass.
     """
     spark = docs.sparkSession
     small_batches(spark)
     terms = disclosing_terms(docs) if terms is None else terms
     at, columns = docs.columns.index("text"), docs.columns
 
-    def scan(held, first: bool):
+    def scan(held, first: bool, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shares = held.value
             names = shares.keys()
@@ -181,14 +182,16 @@ def find(docs: DataFrame, terms: DataFrame | None = None, size: int = SLICE, rem
                     if names and (more := term_spans(text, names, base)):
                         flat = flat + [x for s in more for x in (*s, int(shares[text[s[1] : s[2]].lower()] >= remove))]
                     out.append(flat)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out, pa.list_(pa.int64()))], [*columns, "_found"])
+                own = pa.RecordBatch.from_arrays(batch.columns[: len(columns)], columns)
+                yield finish(own, out) if finish and last else pa.RecordBatch.from_arrays([*own.columns, pa.array(out, pa.list_(pa.int64()))], [*columns, "_found"])
 
         return run
 
     out = docs
-    for i, rows in enumerate(_slices(terms, size) if not terms.isEmpty() else [[]]):
-        held = spark.sparkContext.broadcast({r["term"]: r["share"] for r in rows})  # about SLICE terms
-        out = out.mapInArrow(scan(held, i == 0), _with_found(docs))
+    n = -(-terms.count() // size)
+    for i, rows in enumerate(_slices(terms, size) if n else [[]]):
+        held, last = spark.sparkContext.broadcast({r["term"]: r["share"] for r in rows}), i == max(0, n - 1)  # about SLICE terms
+        out = out.mapInArrow(scan(held, i == 0, last), schema if finish and last else _with_found(docs))
     return out
 
 
@@ -202,19 +205,18 @@ def _ordered(flat: list[int]) -> list[tuple[int, ...]]:
     return sorted(zip(flat[0::4], flat[1::4], flat[2::4], flat[3::4], strict=True))
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts: list[list[int]] = [[], [], [], []]
-        digests, joined = [], []
-        for flat in batch.column(1).to_pylist():
-            spans = _ordered(flat)
-            names = [f"{KINDS[k]}:{a}:{b}" for k, a, b, _ in spans]
-            own = [s[0] for s in spans]
-            for k in range(4):
-                counts[k].append(own.count(k))
-            digests.append(hashlib.sha256(",".join(n for n, k in zip(names, own, strict=True) if k < 4).encode()).hexdigest())
-            joined.append(",".join(names))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests), pa.array(joined)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+def _digest(batch: pa.RecordBatch, found: list[list[int]]) -> pa.RecordBatch:
+    counts: list[list[int]] = [[], [], [], []]
+    digests, joined = [], []
+    for flat in found:
+        spans = _ordered(flat)
+        names = [f"{KINDS[k]}:{a}:{b}" for k, a, b, _ in spans]
+        own = [s[0] for s in spans]
+        for k in range(4):
+            counts[k].append(own.count(k))
+        digests.append(hashlib.sha256(",".join(n for n, k in zip(names, own, strict=True) if k < 4).encode()).hexdigest())
+        joined.append(",".join(names))
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(joined, pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
 
 def clean(text: str, flat: list[int]) -> str:
@@ -229,23 +231,21 @@ def clean(text: str, flat: list[int]) -> str:
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """docs with what find() finds generalised or removed from text; n_chars, if there, is the new length. Null text stays null."""
-    found = find(docs, terms)
     at, columns = docs.columns.index("text"), docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if not f or t is None else clean(t, f) for t, f in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
-            made = list(batch.columns[: len(columns)])
-            made[at] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                n = columns.index("n_chars")
-                made[n] = pa.array([old if t is None else len(t) for t, old in zip(texts, made[n].to_pylist(), strict=True)], made[n].type)
-            yield pa.RecordBatch.from_arrays(made, columns)
+    def finish(batch: pa.RecordBatch, found: list[list[int]]) -> pa.RecordBatch:
+        texts = [t if not f or t is None else clean(t, f) for t, f in zip(batch.column(at).to_pylist(), found, strict=True)]
+        made = list(batch.columns)
+        made[at] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            n = columns.index("n_chars")
+            made[n] = pa.array([old if t is None else len(t) for t, old in zip(texts, made[n].to_pylist(), strict=True)], made[n].type)
+        return pa.RecordBatch.from_arrays(made, columns)
 
-    return found.mapInArrow(run, docs.schema)
+    return find(docs, terms, finish=finish, schema=docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return find(docs).select("doc_id", "_found").mapInArrow(_digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return find(docs, finish=_digest, schema="doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

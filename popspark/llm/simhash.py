@@ -24,7 +24,7 @@ from .common import small_batches, table
 
 BITS = 128
 #: Rows of one run of neighbouring ids, the most runs, terms hashed at once, words kept.
-RUN_ROWS, MOST_RUNS, BLOCK, CACHED = 8192, 10_000, 8192, 300_000
+RUN_ROWS, MOST_RUNS, BLOCK, CACHED = 8192, 10_000, 8192, 120_000
 _M1, _M2, _G = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
