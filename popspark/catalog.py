@@ -2,10 +2,472 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import answers
+from .functions.rng import hash_u
+from .functions.taxonomy import crosswalk
+from .operators import estimate, graph, propagate, raking, sampling, score, weighted
+from .plans import tables as T
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+DP = 7
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, DP) for c in columns})
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# -- projections, crosswalks, validation
+
+@_query("band_documents", f"WITH {T.PANEL_D} SELECT agent_id, length_band FROM panel")
+def _(spark, d):
+    return T.panel_d(spark, d).select("agent_id", "length_band")
+
+
+@_query("crosswalk_regions", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 4 THEN 'south' WHEN 3 THEN 'north' ELSE CASE WHEN n_regionkey IS NOT NULL THEN 'other' END END AS zone FROM nation")
+def _(spark, d):
+    return T.read(spark, d, "nation").select("n_nationkey", crosswalk(F.col("n_regionkey"), {0: "south", 4: "south", 3: "north"}, "other").alias("zone"))
+
+
+@_query("harmonize_customers", f"WITH {T.PANEL_C} SELECT agent_id, region, segment, balance_band, weight FROM panel WHERE region IS NOT NULL AND segment IS NOT NULL AND balance_band IS NOT NULL AND weight > 0")
+def _(spark, d):
+    return T.panel_c(spark, d).dropna(subset=["region", "segment", "balance_band", "weight"]).where("weight > 0").select("agent_id", "region", "segment", "balance_band", "weight")
+
+
+@_query("levels_violations", "SELECT o_orderpriority AS value, count(*) AS rows FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1")
+def _(spark, d):
+    from .functions.taxonomy import Taxonomy
+
+    return Taxonomy({"o_orderpriority": T.PRIORITIES[:3]}).violations(T.read(spark, d, "orders"), "o_orderpriority")
+
+
+@_query("encode_levels", f"WITH {T.PANEL_C} SELECT agent_id, CAST(list_position(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'], region) - 1 AS BIGINT) AS code FROM panel")
+def _(spark, d):
+    return T.panel_c(spark, d).select("agent_id", T.TAXONOMY.code("region", F.col("region")).cast("long").alias("code"))
+
+
+@_query("persona_text", f"WITH {T.PANEL_C} SELECT agent_id, concat_ws('; ', 'region: ' || region, 'balance band: ' || balance_band) AS persona FROM panel")
+def _(spark, d):
+    return T.panel_c(spark, d).select("agent_id", answers.persona(["region", "balance_band"]).alias("persona"))
+
+
+# -- weighted aggregates
+
+@_query("marginals_segment", f"WITH {T.PANEL_C} SELECT segment AS level, round(sum(weight) / (SELECT sum(weight) FROM panel WHERE segment IS NOT NULL), {DP}) AS share FROM panel WHERE segment IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    return _rounded(weighted.marginals(T.panel_c(spark, d), "segment"), "share")
+
+
+@_query("marginals_all", f"WITH {T.PANEL_C}, long AS (SELECT 'region' AS attribute, region AS level, weight FROM panel UNION ALL SELECT 'segment', segment, weight FROM panel UNION ALL SELECT 'balance_band', balance_band, weight FROM panel) SELECT attribute, level, round(sum(weight) / sum(sum(weight)) OVER (PARTITION BY attribute), {DP}) AS share FROM long WHERE level IS NOT NULL GROUP BY 1, 2")
+def _(spark, d):
+    return _rounded(weighted.all_marginals(T.panel_c(spark, d), ["region", "segment", "balance_band"]), "share")
+
+
+@_query("cells_region_segment", f"WITH {T.PANEL_C} SELECT region, segment, sum(weight) AS weight, round(sum(weight) / sum(sum(weight)) OVER (), {DP}) AS share FROM panel GROUP BY 1, 2")
+def _(spark, d):
+    return _rounded(weighted.cells(T.panel_c(spark, d), ["region", "segment"]), "share")
+
+
+@_query("cell_index_customers", f"WITH {T.PANEL_C} SELECT agent_id, CAST(dense_rank() OVER (ORDER BY region, segment) - 1 AS INTEGER) AS cell_id FROM panel")
+def _(spark, d):
+    return weighted.cell_index(T.panel_c(spark, d), ["region", "segment"]).select("agent_id", "cell_id")
+
+
+@_query("weighted_mean_balance", f"WITH {T.PANEL_C} SELECT segment, round(sum(balance * weight) / sum(weight), 4) AS mean_balance FROM panel GROUP BY 1")
+def _(spark, d):
+    return T.panel_c(spark, d).groupBy("segment").agg(F.round(weighted.weighted_mean(F.col("balance"), F.col("weight")), 4).alias("mean_balance"))
+
+
+@_query("weighted_distribution_priority", f"WITH {T.PANEL_C} " + " UNION ALL ".join(f"SELECT region, {i} AS option_ix, round(sum(weight * p{i}) / sum(weight), {DP}) AS share FROM panel GROUP BY 1" for i in range(T.K)))
+def _(spark, d):
+    return _rounded(weighted.weighted_distribution(T.panel_c(spark, d), "p", T.K, by=["region"]), "share")
+
+
+@_query("weighted_shares_quality", f"WITH {T.PANEL_D} SELECT quality AS level, round(sum(weight) / sum(sum(weight)) OVER (), {DP}) AS share FROM sample WHERE quality IN (0, 1) GROUP BY 1")
+def _(spark, d):
+    return _rounded(weighted.weighted_shares(T.sample_d(spark, d), "answer", [0, 1]), "share")
+
+
+@_query("kish_ess_documents", f"WITH {T.PANEL_D} SELECT lang, round(sum(weight) * sum(weight) / sum(weight * weight), {DP}) AS ess FROM panel GROUP BY 1")
+def _(spark, d):
+    return T.panel_d(spark, d).groupBy("lang").agg(F.round(weighted.kish(F.col("weight")), DP).alias("ess"))
+
+
+@_query("share_se_quality", f"WITH {T.PANEL_D}, s AS (SELECT lang, sum(weight * p1) / sum(weight) AS share, sum(weight) * sum(weight) / sum(weight * weight) AS n FROM sample GROUP BY 1) SELECT lang, round(share, {DP}) AS share, round(sqrt(greatest(share * (1 - share), 0) / n), {DP}) AS se FROM s")
+def _(spark, d):
+    s = T.sample_d(spark, d).groupBy("lang").agg(weighted.weighted_mean(F.col("p")[1], F.col("weight")).alias("share"), weighted.kish(F.col("weight")).alias("n"))
+    return _rounded(s.withColumn("se", weighted.standard_error(F.col("share"), F.col("n"))).drop("n"), "share", "se")
+
+
+@_query("item_records_by_segment", f"WITH {T.PANEL_D} SELECT lang, length_band, CAST(count(*) AS BIGINT) AS n, round(sum(weight * p1) / sum(weight), {DP}) AS share FROM sample GROUP BY 1, 2 HAVING count(*) >= 10")
+def _(spark, d):
+    s = T.sample_d(spark, d).groupBy("lang", "length_band").agg(F.count("*").alias("n"), weighted.weighted_mean(F.col("p")[1], F.col("weight")).alias("share"))
+    return _rounded(s.where("n >= 10"), "share")
+
+
+@_query("chunked_marginals_events", f"SELECT event_type AS level, round(sum(value) / sum(sum(value)) OVER (), {DP}) AS share, count(*) AS records FROM events WHERE value IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    sums = T.read(spark, d, "events").where("value is not null").groupBy(F.col("event_type").alias("level")).agg(F.sum("value").alias("weight"), F.count("*").alias("records"))
+    return _rounded(weighted.shares(sums).drop("weight"), "share")
+
+
+@_query("windowed_marginals_events", "SELECT date_trunc('day', ts) AS start, event_type AS level, round(sum(value), 4) AS weight, count(*) AS records FROM events GROUP BY 1, 2")
+def _(spark, d):
+    from .streaming.marginals import windowed_marginals
+
+    return windowed_marginals(T.read(spark, d, "events"), "ts", "event_type", "value").withColumn("weight", F.round("weight", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# -- sampling
+
+_ALLOC = f"""cells AS (SELECT region, segment, sum(weight) AS w FROM panel GROUP BY 1, 2),
+q AS (SELECT *, w / sum(w) OVER () * (100 - count(*) OVER ()) AS quota, count(*) OVER () AS n FROM cells),
+f AS (SELECT *, floor(quota) AS base, 100 - n - sum(floor(quota)) OVER () AS short FROM q),
+alloc AS (SELECT region, segment, CAST(base + 1 + CASE WHEN row_number() OVER (ORDER BY quota - base DESC, region, segment) <= short THEN 1 ELSE 0 END AS BIGINT) AS alloc FROM f)"""
+
+
+@_query("largest_remainder_cells", f"WITH {T.PANEL_C}, {_ALLOC} SELECT * FROM alloc")
+def _(spark, d):
+    return sampling.largest_remainder(weighted.cells(T.panel_c(spark, d), ["region", "segment"]), 100, ["region", "segment"], least=1).select("region", "segment", "alloc")
+
+
+@_query("stratified_sample_customers", f"WITH {T.PANEL_C}, {_ALLOC}, r AS (SELECT panel.*, alloc, row_number() OVER (PARTITION BY region, segment ORDER BY {T.U(chr(39) + '11' + chr(39), 'agent_id::VARCHAR')}, agent_id) AS k FROM panel JOIN alloc USING (region, segment)) SELECT agent_id, region, segment FROM r WHERE k <= alloc")
+def _(spark, d):
+    return sampling.stratified(T.panel_c(spark, d), 100, ["region", "segment"], 11, "agent_id").select("agent_id", "region", "segment")
+
+
+@_query("weighted_sample_customers", f"WITH {T.PANEL_C} SELECT agent_id FROM panel WHERE weight > 0 ORDER BY -ln(1 - {T.U(chr(39) + '5' + chr(39), 'agent_id::VARCHAR')}) / weight, agent_id LIMIT 50")
+def _(spark, d):
+    return sampling.weighted_sample(T.panel_c(spark, d), 50, 5, "agent_id").select("agent_id")
+
+
+@_query("bernoulli_sample_documents", f"SELECT doc_id FROM documents WHERE {T.U(chr(39) + '9' + chr(39), 'doc_id::VARCHAR')} < 0.1")
+def _(spark, d):
+    return sampling.bernoulli(T.read(spark, d, "documents"), 0.1, 9, "doc_id").select("doc_id")
+
+
+# -- raking and synthesis
+
+def _targets(spark, d) -> dict[str, dict[str, float]]:
+    rows = T.read(spark, d, "supplier").join(F.broadcast(T.nations(spark, d)), F.col("s_nationkey") == F.col("nation")).groupBy("region").count().collect()
+    total = sum(r["count"] for r in rows)
+    got = {r["region"]: r["count"] / total for r in rows}
+    return {"region": {x: got.get(x, 0.0) for x in T.REGIONS}, "segment": {x: (i + 3) / 25 for i, x in enumerate(T.SEGMENTS)}}
+
+
+_STEPS = 10
+_RAKE = f"""{T.PANEL_C}, tr AS (SELECT region, count(*) / (SELECT count(*) FROM supplier)::DOUBLE AS t FROM supplier JOIN nations ON s_nationkey = nation GROUP BY 1),
+ts AS (SELECT * FROM (VALUES {", ".join(f"('{x}', {(i + 3) / 25}::DOUBLE)" for i, x in enumerate(T.SEGMENTS))}) v(segment, t)),
+r0 AS (SELECT region, segment, sum(weight) AS w FROM panel GROUP BY 1, 2), """ + ", ".join(
+    f"a{i} AS (SELECT c.region, c.segment, w * t / (sum(w) OVER (PARTITION BY c.region) / sum(w) OVER ()) AS w FROM r{i - 1} c JOIN tr ON tr.region = c.region), r{i} AS (SELECT c.region, c.segment, w * t / (sum(w) OVER (PARTITION BY c.segment) / sum(w) OVER ()) AS w FROM a{i} c JOIN ts ON ts.segment = c.segment)"
+    for i in range(1, _STEPS + 1)
+)
+
+
+@_query("rake_region_segment", f"WITH {_RAKE} SELECT region, segment, round(w / sum(w) OVER (), {DP}) AS share FROM r{_STEPS}")
+def _(spark, d):
+    raked, _info = raking.rake(T.panel_c(spark, d), _targets(spark, d))
+    return _rounded(weighted.cells(raked, ["region", "segment"]).drop("weight"), "share")
+
+
+@_query("rake_unreachable_levels")
+def _(spark, d):
+    panel = T.panel_c(spark, d).where("region <> 'ASIA'")
+    _raked, info = raking.rake(panel, _targets(spark, d), most=20)
+    return spark.createDataFrame([(*x, info.iterations) for x in info.unreachable], "attribute string, level string, iterations int")
+
+
+@_query("marginal_fidelity", f"WITH {T.PANEL_C}, t AS (SELECT 'segment' AS attribute, * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {(i + 3) / 25}::DOUBLE)' for i, x in enumerate(T.SEGMENTS))}) v(level, share)), g AS (SELECT segment AS level, sum(weight) / sum(sum(weight)) OVER () AS got FROM panel GROUP BY 1), e AS (SELECT attribute, share, coalesce(got, 0) - share AS d FROM t LEFT JOIN g USING (level)) SELECT attribute, round(sum(abs(d)), {DP}) AS tae, round(max(abs(d)), {DP}) AS max_deviation, round(sqrt(avg(d * d)) / avg(share), {DP}) AS srmse FROM e GROUP BY 1")
+def _(spark, d):
+    rows = [("segment", x, (i + 3) / 25) for i, x in enumerate(T.SEGMENTS)]
+    return _rounded(raking.fidelity(T.panel_c(spark, d), spark.createDataFrame(rows, "attribute string, level string, share double"), ["segment"]), "tae", "max_deviation", "srmse")
+
+
+@_query("joint_divergence_panels", f"WITH {T.PANEL_C}, a AS (SELECT region, segment, sum(weight) / sum(sum(weight)) OVER () AS s FROM panel WHERE agent_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT region, segment, sum(weight) / sum(sum(weight)) OVER () AS s FROM panel WHERE agent_id % 2 = 1 GROUP BY 1, 2) SELECT round(0.5 * sum(abs(coalesce(a.s, 0) - coalesce(b.s, 0))), {DP}) AS divergence FROM a FULL JOIN b USING (region, segment)")
+def _(spark, d):
+    panel = T.panel_c(spark, d)
+    return _rounded(raking.joint_divergence(panel.where("agent_id % 2 = 0"), panel.where("agent_id % 2 = 1"), ["region", "segment"]), "divergence")
+
+
+_SYNTH_U = T.U("'21'", "'segment'", "range::VARCHAR")
+
+
+@_query("synth_independence", f"SELECT range AS agent_id, CASE {' '.join(f'WHEN {_SYNTH_U} < {sum((j + 3) / 25 for j in range(i + 1))} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(T.SEGMENTS[:-1]))} ELSE '{T.SEGMENTS[-1]}' END AS segment, {T.U(chr(39) + '22' + chr(39), chr(39) + 'openness' + chr(39), 'range::VARCHAR')} AS trait_openness FROM range(2000)")
+def _(spark, d):
+    made = raking.synthesize_independent(spark, 2000, {"segment": {x: (i + 3) / 25 for i, x in enumerate(T.SEGMENTS)}}, 21, ["openness"])
+    return made.drop("weight")
+
+
+# -- answers
+
+@_query("cache_key", f"WITH {T.PANEL_C} SELECT agent_id, sha256('system' || chr(31) || concat_ws('; ', 'region: ' || region, 'segment: ' || segment)) AS key FROM panel")
+def _(spark, d):
+    return T.panel_c(spark, d).select("agent_id", answers.cache_key(F.lit("system"), answers.persona(["region", "segment"])).alias("key"))
+
+
+_STUB = [f"(1 + CAST('0x' || substr(key, {1 + 2 * i}, 2) AS BIGINT) / 32.0::DOUBLE)" for i in range(3)]
+
+
+@_query("stub_responses", f"WITH {T.PANEL_C}, k AS (SELECT agent_id, sha256('system' || chr(31) || concat_ws('; ', 'region: ' || region, 'segment: ' || segment)) AS key FROM panel) " + " UNION ALL ".join(f"SELECT agent_id, {i} AS option_ix, round({_STUB[i]} / ({' + '.join(_STUB)}), {DP}) AS p FROM k" for i in range(3)))
+def _(spark, d):
+    w = answers.stub_weights(F.lit("system"), answers.persona(["region", "segment"]), 3)
+    return T.panel_c(spark, d).select("agent_id", F.posexplode(w).alias("option_ix", "p")).withColumn("p", F.round("p", DP))
+
+
+@_query("parse_answers", f"WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) SELECT event_id, CASE WHEN k > 0 THEN 1.0::DOUBLE END AS p_k FROM e")
+def _(spark, d):
+    p = answers.parse_answer(F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done")), ["k", "absent"])
+    return T.read(spark, d, "events").select("event_id", p[0].alias("p_k"))
+
+
+@_query("token_cost", "SELECT lang, CAST(sum(CAST(floor(length(text) / 4) AS BIGINT)) AS BIGINT) AS tokens FROM documents GROUP BY 1")
+def _(spark, d):
+    return T.read(spark, d, "documents").groupBy("lang").agg(F.sum(answers.token_estimate(F.col("text")).cast("long")).alias("tokens"))
+
+
+# -- propagation
+
+@_query("uniform_predictor", f"WITH {T.PANEL_C} SELECT agent_id, o.range::INTEGER AS option_ix, 0.2::DOUBLE AS p FROM panel, range(5) o")
+def _(spark, d):
+    return T.panel_c(spark, d).select("agent_id", F.posexplode(propagate.uniform(T.K)).alias("option_ix", "p"))
+
+
+@_query("prior_predictor_loo", f"WITH {T.BANK_Q}, g AS (SELECT DISTINCT group_id FROM bank) SELECT g.group_id, option_ix, round(avg(topline), {DP}) AS share FROM g JOIN bank ON bank.group_id <> g.group_id GROUP BY 1, 2")
+def _(spark, d):
+    bank = T.bank_q(spark, d)
+    # the mean without a group is (sum of all - sum of the group) over what is left: no pairing of groups
+    sums = bank.groupBy("group_id", "option_ix").agg(F.sum("topline").alias("s"), F.count("*").alias("n"))
+    every = Window.partitionBy("option_ix")
+    loo = (F.sum("s").over(every) - F.col("s")) / (F.sum("n").over(every) - F.col("n"))
+    return _rounded(sums.select("group_id", "option_ix", loo.alias("share")), "share")
+
+
+@_query("mean_propagator", f"WITH {T.PANEL_D}, m AS (SELECT sum(weight * p1) / sum(weight) AS p FROM sample) SELECT agent_id, round(p, {DP}) AS p FROM panel, m")
+def _(spark, d):
+    return propagate.by_mean(T.panel_d(spark, d), T.sample_d(spark, d), 2).select("agent_id", F.round(F.col("p")[1], DP).alias("p"))
+
+
+@_query("cell_mean_propagator", f"WITH {T.PANEL_D}, m AS (SELECT sum(weight * p1) / sum(weight) AS a FROM sample), c AS (SELECT lang, length_band, sum(weight * p1) / sum(weight) AS p FROM sample GROUP BY 1, 2) SELECT agent_id, round(coalesce(p, a), {DP}) AS p FROM panel LEFT JOIN c USING (lang, length_band), m")
+def _(spark, d):
+    return propagate.by_cell(T.panel_d(spark, d), T.sample_d(spark, d), ["lang", "length_band"], 2).select("agent_id", F.round(F.col("p")[1], DP).alias("p"))
+
+
+@_query("softmax_propagator")
+def _(spark, d):
+    sample = sampling.stratified(T.sample_d(spark, d), 80, ["lang"], 3, "agent_id")
+    fitted = propagate.Softmax({"lang": ("en", "fr", "de", "es"), "length_band": T.LENGTH_BANDS}).fit(sample, 2)
+    return fitted.predict(T.panel_d(spark, d)).select("agent_id", F.round(F.col("p")[1], 6).alias("p"))
+
+
+@_query("trait_noise")
+def _(spark, d):
+    agents = propagate.by_mean(T.panel_d(spark, d), T.sample_d(spark, d), 2).withColumn("trait_x", propagate.trait("x", 4))
+    return propagate.trait_noise(agents, ["trait_x"], 0.05, 6, 2).select("agent_id", F.round(F.col("p")[1], 6).alias("p"))
+
+
+# -- estimation
+
+_POOL = f"""{T.PANEL_D}, cells AS (SELECT lang, length_band, sum(weight) AS w, sum(weight) / sum(sum(weight)) OVER () AS share FROM panel GROUP BY 1, 2),
+m AS (SELECT avg(weight) AS mean FROM sample), e AS (SELECT lang, length_band, sum(weight / mean * p0) AS c0, sum(weight / mean * p1) AS c1 FROM sample, m GROUP BY 1, 2),
+counts AS (SELECT lang, length_band, share, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, coalesce(c0, 0) + coalesce(c1, 0) AS n FROM cells LEFT JOIN e USING (lang, length_band)),
+g AS (SELECT sum(c0) / sum(n) AS mu0, sum(c1) / sum(n) AS mu1, count(*) FILTER (WHERE n > 0) AS occupied FROM counts),
+b AS (SELECT sum(n * (pow(c0 / n - mu0, 2) + pow(c1 / n - mu1, 2))) / sum(n) AS between_ FROM counts, g WHERE n > 0),
+h AS (SELECT mu0, mu1, CASE WHEN occupied < 2 OR between_ <= 0 THEN 1e4::DOUBLE ELSE least(greatest((mu0 * (1 - mu0) + mu1 * (1 - mu1)) / between_ - 1, 0.01), 1e4) END AS alpha FROM g, b),
+post AS (SELECT lang, length_band, share, n, (alpha * mu0 + c0) / (alpha + n) AS post0, (alpha * mu1 + c1) / (alpha + n) AS post1, alpha / (alpha + n) AS shrinkage FROM counts, h)"""
+_DIMS = ["lang", "length_band"]
+
+
+def _posterior(spark, d, concentration=None):
+    return estimate.poststratified(T.panel_d(spark, d), T.sample_d(spark, d), _DIMS, 2, concentration=concentration)
+
+
+@_query("pooled_cells", f"WITH {_POOL} SELECT lang, length_band, round(post0, 6) AS post0, round(post1, 6) AS post1, round(shrinkage, 6) AS shrinkage FROM post")
+def _(spark, d):
+    return _posterior(spark, d).select(*_DIMS, *[F.round(c, 6).alias(c) for c in ("post0", "post1", "shrinkage")])
+
+
+@_query("mrp_topline", f"WITH {_POOL} SELECT 0 AS option_ix, round(sum(share * post0) / sum(share), 6) AS share FROM post UNION ALL SELECT 1, round(sum(share * post1) / sum(share), 6) FROM post")
+def _(spark, d):
+    return estimate.topline(_posterior(spark, d), 2).withColumn("share", F.round("share", 6))
+
+
+@_query("mrp_segments", f"WITH {_POOL}, l AS (SELECT 'lang' AS dimension, lang AS level, * FROM post UNION ALL SELECT 'length_band', length_band, * FROM post) SELECT dimension, level, 0 AS option_ix, round(sum(share * post0) / sum(share), 6) AS share FROM l GROUP BY 1, 2 UNION ALL SELECT dimension, level, 1, round(sum(share * post1) / sum(share), 6) FROM l GROUP BY 1, 2")
+def _(spark, d):
+    return estimate.segments(_posterior(spark, d), _DIMS, 2).withColumn("share", F.round("share", 6))
+
+
+@_query("mrp_no_pooling", f"WITH {_POOL}, p AS (SELECT share, (1e-6 * mu0 + c0) / (1e-6 + n) AS post0, (1e-6 * mu1 + c1) / (1e-6 + n) AS post1 FROM counts, g) SELECT 0 AS option_ix, round(sum(share * post0) / sum(share), 6) AS share FROM p UNION ALL SELECT 1, round(sum(share * post1) / sum(share), 6) FROM p")
+def _(spark, d):
+    return estimate.topline(_posterior(spark, d, 1e-6), 2).withColumn("share", F.round("share", 6))
+
+
+@_query("direct_estimate", f"WITH {T.PANEL_D} SELECT 0 AS option_ix, round(sum(weight * p0) / sum(weight), {DP}) AS share FROM sample UNION ALL SELECT 1, round(sum(weight * p1) / sum(weight), {DP}) FROM sample")
+def _(spark, d):
+    return _rounded(weighted.weighted_distribution(T.sample_d(spark, d), "p", 2), "share")
+
+
+@_query("posterior_interval")
+def _(spark, d):
+    low, high = estimate.interval("share")
+    return estimate.draws(_posterior(spark, d), _DIMS, 2, 400, 17).groupBy("option_ix").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@_query("arm_contrast")
+def _(spark, d):
+    a = estimate.draws(_posterior(spark, d), _DIMS, 2, 400, 17)
+    toxic = estimate.poststratified(T.panel_d(spark, d), T.sample_d(spark, d, "toxic"), _DIMS, 2)
+    return estimate.contrast(a, estimate.draws(toxic, _DIMS, 2, 400, 17))
+
+
+@_query("interval_agreement")
+def _(spark, d):
+    post = _posterior(spark, d)
+    return estimate.interval_agreement(estimate.draws(post, _DIMS, 2, 400, 17), estimate.draws(post, _DIMS, 2, 400, 18))
+
+
+@_query("quantile_interval", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS low, round(quantile_cont(value, 0.95), 6) AS high FROM events GROUP BY 1")
+def _(spark, d):
+    low, high = estimate.interval("value")
+    return T.read(spark, d, "events").groupBy("event_type").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+# -- graph
+
+def _edges(spark, d):
+    return graph.build(T.panel_c(spark, d), ["region"], 8, 0.7, 13)
+
+
+@_query("graph_degrees")
+def _(spark, d):
+    return graph.degrees(_edges(spark, d))
+
+
+@_query("graph_homophily")
+def _(spark, d):
+    return graph.homophily(_edges(spark, d), T.panel_c(spark, d).withColumn("label", F.col("region")))
+
+
+@_query("influence_rounds")
+def _(spark, d):
+    moved = graph.influence(T.panel_c(spark, d), _edges(spark, d), 3, 0.25, 0.2, T.K)
+    return moved.select("agent_id", F.transform("p", lambda x: F.round(x, 6)).alias("p"))
+
+
+# -- scoring
+
+def _rows(spark, d) -> DataFrame:
+    """Each nation's published answers against its region's."""
+    bank = T.bank_q(spark, d)
+    groups = bank.groupBy("group_id", "option_ix").agg(F.avg("topline").alias("p"))
+    return bank.join(F.broadcast(groups), ["group_id", "option_ix"]).select("question_id", "option_ix", "p", F.col("topline").alias("t"), "se")
+
+
+_ROWS = f"{T.BANK_Q}, rows_ AS (SELECT question_id, option_ix, avg(topline) OVER (PARTITION BY group_id, option_ix) AS p, topline AS t, se FROM bank)"
+_SCORES = f"{_ROWS}, run AS (SELECT *, sum(p - t) OVER (PARTITION BY question_id ORDER BY option_ix) AS c FROM rows_), scores AS (SELECT question_id, avg(abs(p - t)) AS mae, max(abs(p - t)) AS max_error, 0.5 * sum(abs(p - t)) AS total_variation, sum((p - t) * (p - t)) AS brier, -sum(t * ln(greatest(p, 1e-12))) AS log_score, avg(CASE WHEN abs(p - t) <= 1.96 * se THEN 1.0 ELSE 0.0 END) AS within_interval, sum(abs(c)) / (count(*) - 1) AS earth_mover FROM run GROUP BY 1)"
+_METRICS = ("mae", "max_error", "total_variation", "brier", "log_score", "within_interval", "earth_mover")
+
+
+@_query("score_questions", f"WITH {_SCORES} SELECT question_id, {', '.join(f'round({m}, {DP}) AS {m}' for m in _METRICS)} FROM scores")
+def _(spark, d):
+    return _rounded(score.question_scores(_rows(spark, d)), *_METRICS)
+
+
+@_query("worst_questions", f"WITH {_SCORES} SELECT question_id, round(mae, {DP}) AS mae FROM scores ORDER BY scores.mae DESC, question_id LIMIT 8")
+def _(spark, d):
+    return _rounded(score.question_scores(_rows(spark, d)).orderBy(F.desc("mae"), "question_id").limit(8).select("question_id", "mae"), "mae")
+
+
+@_query("backtest_summary", f"WITH {_SCORES} SELECT {', '.join(f'round(avg({m}), {DP}) AS {m}' for m in _METRICS)}, count(*) AS questions FROM scores")
+def _(spark, d):
+    return score.question_scores(_rows(spark, d)).agg(*[F.round(F.avg(m), DP).alias(m) for m in _METRICS], F.count("*").alias("questions"))
+
+
+@_query("skill_vs_prior", f"WITH {_ROWS}, e AS (SELECT avg(abs(p - t)) AS e, avg(abs(0.2 - t)) AS b FROM rows_) SELECT round(1 - e / b, {DP}) AS skill FROM e")
+def _(spark, d):
+    sums = _rows(spark, d).agg(F.avg(F.abs(F.col("p") - F.col("t"))).alias("e"), F.avg(F.abs(0.2 - F.col("t"))).alias("b"))
+    return _rounded(sums.select(score.skill(F.col("e"), F.col("b")).alias("skill")), "skill")
+
+
+_BIN = "least(" + " + ".join(f"CASE WHEN p >= {i / 10}::DOUBLE THEN 1 ELSE 0 END" for i in range(1, 10)) + ", 9)"
+
+
+@_query("reliability_curve", f"WITH {_ROWS}, b AS (SELECT {_BIN} AS bin, avg(p) AS mp, avg(t) AS mt, count(*) AS n FROM rows_ GROUP BY 1) SELECT range::INTEGER AS bin, round(mp, {DP}) AS mean_p, round(mt, {DP}) AS mean_t, coalesce(n, 0) AS rows FROM range(10) LEFT JOIN b ON bin = range")
+def _(spark, d):
+    return _rounded(score.reliability(_rows(spark, d)), "mean_p", "mean_t")
+
+
+@_query("ece_pooled", f"WITH {_ROWS}, b AS (SELECT {_BIN} AS bin, avg(p) AS mp, avg(t) AS mt, count(*) AS n FROM rows_ GROUP BY 1) SELECT round(sum(n * abs(mp - mt)) / sum(n), {DP}) AS ece FROM b")
+def _(spark, d):
+    return _rounded(score.calibration_error(_rows(spark, d)), "ece")
+
+
+@_query("interval_coverage", f"WITH {_ROWS} SELECT round(avg(CASE WHEN t BETWEEN p - 1.96 * se AND p + 1.96 * se THEN 1.0 ELSE 0.0 END), {DP}) AS coverage FROM rows_")
+def _(spark, d):
+    rows = _rows(spark, d).withColumn("low", F.col("p") - 1.96 * F.col("se")).withColumn("high", F.col("p") + 1.96 * F.col("se"))
+    return _rounded(score.coverage(rows), "coverage")
+
+
+def _experiments(spark, d) -> DataFrame:
+    """The two lowest nations of each region: published gap and a halved estimate."""
+    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("question_id"))
+    arms = T.bank_q(spark, d).where("option_ix = 0").withColumn("arm", rank).where("arm <= 2")
+    return arms.groupBy("group_id").agg((F.max(F.when(F.col("arm") == 2, F.col("topline"))) - F.max(F.when(F.col("arm") == 1, F.col("topline")))).alias("gap_t"), F.max("n").alias("n")).withColumn("gap_p", F.col("gap_t") / 2 + 0.01)
+
+
+_EXP = f"{T.BANK_Q}, arms AS (SELECT group_id, topline, row_number() OVER (PARTITION BY group_id ORDER BY question_id) AS arm FROM bank WHERE option_ix = 0), x AS (SELECT group_id, max(CASE WHEN arm = 2 THEN topline END) - max(CASE WHEN arm = 1 THEN topline END) AS gap_t FROM arms WHERE arm <= 2 GROUP BY 1), exps AS (SELECT *, gap_t / 2 + 0.01 AS gap_p FROM x)"
+
+
+@_query("arm_gap", f"WITH {_EXP} SELECT group_id, round(gap_t, {DP}) AS gap_t, round(gap_p, {DP}) AS gap_p FROM exps")
+def _(spark, d):
+    return _rounded(_experiments(spark, d).drop("n"), "gap_t", "gap_p")
+
+
+@_query("experiment_summary", f"WITH {_EXP} SELECT round(avg(abs(gap_p - gap_t)), {DP}) AS gap_mae, round(avg(CASE WHEN abs(gap_t) >= 0.03 THEN CASE WHEN sign(gap_p) = sign(gap_t) THEN 1.0 ELSE 0.0 END END), {DP}) AS gap_sign, count(*) AS experiments, round(corr(gap_p, gap_t), {DP}) AS gap_correlation FROM exps")
+def _(spark, d):
+    return _rounded(score.experiment_summary(_experiments(spark, d)), "gap_mae", "gap_sign", "gap_correlation")
+
+
+@_query("bank_split", f"WITH {T.BANK_Q} SELECT DISTINCT question_id FROM bank WHERE group_id NOT IN ('ASIA')")
+def _(spark, d):
+    bank = T.bank_q(spark, d).select("question_id", "group_id").distinct()
+    held = bank.where("group_id = 'ASIA'").select("question_id")
+    return bank.join(held, "question_id", "left_anti").select("question_id")
+
+
+@_query("gate_results")
+def _(spark, d):
+    found = score.question_scores(_rows(spark, d)).agg(F.count("*").alias("questions"), F.avg("mae").alias("mae")).collect()[0]
+    return score.gates(spark, found.asDict(), [("questions", "min", 20), ("mae", "max", 0.16), ("coverage", "min", 0.7)])
+
+
+@_query("wording_extract_pages", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def _(spark, d):
+    return T.read(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@_query("hash_uniform", f"SELECT doc_id, {T.U(chr(39) + '1' + chr(39), 'doc_id::VARCHAR')} AS u FROM documents")
+def _(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", hash_u(1, F.col("doc_id")).alias("u"))
