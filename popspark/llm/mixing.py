@@ -96,24 +96,28 @@ def words(text: Column) -> Column:
 
 
 def _fill(rows: pd.DataFrame) -> pd.DataFrame:
-    """In hash order, each document that still fits; then exchanges of one for one that close what is left."""
+    """In hash order, each document that still fits; then copies added, or exchanged one for one, while that closes what is left."""
     rows = rows.sort_values(["u", "doc_id", "size"], na_position="last", kind="stable")
-    sizes = rows["size"].to_numpy()
+    sizes, base = rows["size"].to_numpy(), int(rows["base"].iloc[0])
     left, extra = int(rows["room"].iloc[0]), np.zeros(len(sizes), np.int64)
     for i, size in enumerate(sizes):
-        if 0 < size <= left:
+        if base < MOST_COPIES and 0 < size <= left:
             extra[i], left = 1, left - int(size)
     while left > 0:
-        out, into = np.flatnonzero(extra == 1), np.flatnonzero((extra == 0) & (sizes > 0))
-        if not len(out) or not len(into):
+        into, out = np.flatnonzero((extra < MOST_COPIES - base) & (sizes > 0)), np.flatnonzero((extra > -base) & (sizes > 0))
+        if not len(into):
             break
-        out = out[np.argsort(sizes[out], kind="stable")]
-        at = np.searchsorted(sizes[out], sizes[into] - left)  # the smallest that makes room
-        gain = np.where(at < len(out), sizes[into] - sizes[out[np.minimum(at, len(out) - 1)]], 0)
+        gives = np.concatenate([[0], np.sort(sizes[out], kind="stable")])  # nothing, or a copy of what is in
+        which = np.concatenate([[-1], out[np.argsort(sizes[out], kind="stable")]])
+        at = np.searchsorted(gives, sizes[into] - left)  # the smallest that makes room
+        gain = np.where(at < len(gives), sizes[into] - gives[np.minimum(at, len(gives) - 1)], 0)
         best = int(gain.argmax())
         if gain[best] <= 0:
             break
-        extra[into[best]], extra[out[at[best]]], left = 1, 0, left - int(gain[best])
+        extra[into[best]] += 1
+        if which[at[best]] >= 0:
+            extra[which[at[best]]] -= 1
+        left -= int(gain[best])
     return rows.assign(extra=extra)[["pattern", "doc_id", "size", "extra"]]
 
 
@@ -121,8 +125,8 @@ def take(sized: DataFrame, amounts: DataFrame, seed: int = 5, bucket_rows: int =
     """pattern, doc_id, size, copies: how often each row is taken.
 
     sized: pattern int, doc_id, size. amounts: pattern, rows, words (of all its rows), amount (words to take). Every row
-    of a pattern is taken floor(amount / words) times, and a seeded subset once more, so that their words come up to
-    the amount but for less than any further row of the last bucket.
+    of a pattern is taken floor(amount / words) times, and a seeded subset once more; in the bucket where the amount ends
+    single rows may differ by more copies, within MOST_COPIES, where that brings the sum nearer.
     """
     hint = F.broadcast if amounts.count() <= BROADCAST_ROWS else lambda x: x
     amounts = amounts.select(
