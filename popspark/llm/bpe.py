@@ -129,18 +129,22 @@ def packed(ids: Iterable[int]) -> bytes:
 
 
 class _Cache(dict):
-    """Piece -> packed ids; starts anew when full."""
+    """Piece -> packed ids. When half full it becomes the older half, from which pieces in use come back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(piece) > SHORT:
             return b"".join(Window(self.vocabulary).feed(piece.encode(), True))
-        if len(self) >= CACHED:
+        if len(self) >= CACHED // 2:
+            self.older = dict(self)
             self.clear()
-        self[piece] = made = packed(self.vocabulary.merge(piece.encode()))
+        made = self.older.get(piece)
+        if made is None:
+            made = packed(self.vocabulary.merge(piece.encode()))
+        self[piece] = made
         return made
 
 
