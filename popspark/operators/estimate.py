@@ -14,21 +14,25 @@ from .weighted import cells
 LEAST, MOST, FLOOR = 1e-2, 1e4, 1e-12
 
 
-def evidence(frame_cells: DataFrame, sample: DataFrame, dims: Sequence[str], k: int, p: str = "p", weight: str = "weight") -> DataFrame:
-    """dims, share, c0..: the sample's vectors, weighted to mean 1, summed into the frame's cells (empty ones too)."""
+def evidence(frame_cells: DataFrame, sample: DataFrame, dims: Sequence[str], k: int, p: str = "p", weight: str = "weight", by: Sequence[str] = ()) -> DataFrame:
+    """by, dims, share, c0..: the sample's vectors, weighted to mean 1, summed into the frame's cells (empty ones too).
+
+    by: columns of both tables that tell questions apart; everything is done within a question.
+    """
     used = sample.where(F.col(p).isNotNull())
-    mean = used.agg(F.avg(weight).alias("_mean"))
-    sums = used.join(F.broadcast(mean)).groupBy(*dims).agg(*[F.sum(F.col(weight) / F.col("_mean") * F.col(p)[i]).alias(f"c{i}") for i in range(k)])
-    return frame_cells.join(sums, list(dims), "left").fillna(0.0, subset=[f"c{i}" for i in range(k)])
+    mean = used.groupBy(*by).agg(F.avg(weight).alias("_mean"))
+    joined = used.join(F.broadcast(mean), list(by)) if by else used.join(F.broadcast(mean))
+    sums = joined.groupBy(*by, *dims).agg(*[F.sum(F.col(weight) / F.col("_mean") * F.col(p)[i]).alias(f"c{i}") for i in range(k)])
+    return frame_cells.join(sums, [*by, *dims], "left").fillna(0.0, subset=[f"c{i}" for i in range(k)])
 
 
-def pooled(counts: DataFrame, k: int, concentration: float | None = None) -> DataFrame:
+def pooled(counts: DataFrame, k: int, concentration: float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """counts (a row a cell, c0..) with n, alpha, mu0.., post0.., shrinkage.
 
     alpha by moments: sum mu (1 - mu) / between-cell variance - 1, within bounds; the upper one if fewer than two cells
     are occupied or they don't differ.
     """
-    all_ = Window.partitionBy()  # a row a cell: few
+    all_ = Window.partitionBy(*by)  # a row a cell: few
     n = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
     out = counts.withColumn("n", n)
     for i in range(k):
@@ -58,9 +62,9 @@ def poststratified(frame: DataFrame, sample: DataFrame, dims: Sequence[str], k:
     return pooled(evidence(cells(frame, dims, weight), sample, dims, k, weight=weight), k, concentration)
 
 
-def topline(posterior: DataFrame, k: int) -> DataFrame:
-    sums = posterior.agg(*[(F.sum(F.col("share") * F.col(f"post{i}")) / F.sum("share")).alias(f"s{i}") for i in range(k)])
-    return long_options(sums, k, "s", [], "share")
+def topline(posterior: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    sums = posterior.groupBy(*by).agg(*[(F.sum(F.col("share") * F.col(f"post{i}")) / F.sum("share")).alias(f"s{i}") for i in range(k)])
+    return long_options(sums, k, "s", list(by), "share")
 
 
 def segments(posterior: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
@@ -71,18 +75,20 @@ def segments(posterior: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
     return long_options(sums, k, "s", ["dimension", "level"], "share")
 
 
-def draws(posterior: DataFrame, dims: Sequence[str], k: int, n: int, seed: int) -> DataFrame:
-    """draw, option_ix, share: Dirichlet draws of every cell, summed by the cells' shares. Seeded by the cell's name."""
-    parameters = posterior.select(F.concat_ws("|", *dims).alias("cell"), "share", F.array(*[F.greatest(F.col("alpha") * F.col(f"mu{i}") + F.col(f"c{i}"), F.lit(FLOOR)) for i in range(k)]).alias("a"))
+def draws(posterior: DataFrame, dims: Sequence[str], k: int, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """by, draw, option_ix, share: Dirichlet draws of every cell, summed by the cells' shares. Seeded by the cell's name, so that questions pair by draw."""
+    parameters = posterior.select(*by, F.concat_ws("|", *dims).alias("cell"), "share", F.array(*[F.greatest(F.col("alpha") * F.col(f"mu{i}") + F.col(f"c{i}"), F.lit(FLOOR)) for i in range(k)]).alias("a"))
 
     def sample(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["cell"].iloc[0]
         rng = np.random.default_rng([seed, *name.encode()])
         found = rng.dirichlet(np.asarray(rows["a"].iloc[0], dtype=float), n) * rows["share"].iloc[0]
-        return pd.DataFrame({"draw": np.repeat(np.arange(n), k), "option_ix": np.tile(np.arange(k), n), "part": found.ravel()})
+        return pd.DataFrame({**{b: rows[b].iloc[0] for b in by}, "draw": np.repeat(np.arange(n), k), "option_ix": np.tile(np.arange(k), n), "part": found.ravel()})
 
-    parts = parameters.groupBy("cell").applyInPandas(sample, "draw int, option_ix int, part double")
-    return parts.groupBy("draw", "option_ix").agg(F.sum("part").alias("share"))
+    kinds = dict(posterior.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "draw int, option_ix int, part double"])
+    parts = parameters.groupBy(*by, "cell").applyInPandas(sample, schema)
+    return parts.groupBy(*by, "draw", "option_ix").agg(F.sum("part").alias("share"))
 
 
 def interval(value: Column | str, level: float = 0.90) -> tuple[Column, Column]:

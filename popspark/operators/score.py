@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def question_scores(rows: DataFrame, key: str = "question_id") -> DataFrame:
-    """rows: key, option_ix, p, t, se (may be null). A row a question with all distances."""
+def question_scores(rows: DataFrame, *key: str) -> DataFrame:
+    """rows: key (question_id unless given), option_ix, p, t, se (may be null). A row a question with all distances."""
+    key = key or ("question_id",)
     d = F.col("p") - F.col("t")
-    running = F.sum(d).over(Window.partitionBy(key).orderBy("option_ix"))
-    out = rows.withColumn("d", d).withColumn("run", running).groupBy(key).agg(
+    running = F.sum(d).over(Window.partitionBy(*key).orderBy("option_ix"))
+    out = rows.withColumn("d", d).withColumn("run", running).groupBy(*key).agg(
         F.avg(F.abs("d")).alias("mae"),
         F.max(F.abs("d")).alias("max_error"),
         (0.5 * F.sum(F.abs("d"))).alias("total_variation"),
@@ -52,17 +53,22 @@ def calibration_error(rows: DataFrame, n: int = 10) -> DataFrame:
     return table.agg((F.sum(F.col("rows") * F.abs(F.col("mean_p") - F.col("mean_t"))) / F.sum("rows")).alias("ece"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """0 where either is flat (the built-in corr divides by its spread and fails there), null for two rows or fewer."""
+    flat = F.least(F.stddev_pop(a), F.stddev_pop(b)) <= 1e-9
+    spread = F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    return F.when(F.count("*") > 2, F.when(flat, 0.0).otherwise(F.covar_pop(a, b) / spread))
+
+
 def experiment_summary(rows: DataFrame, least: float = 0.03) -> DataFrame:
     """rows: gap_p, gap_t. Mean error of the gaps; share of right signs where the published gap is at least `least`; correlation of more than two."""
     big = F.abs("gap_t") >= least
-    out = rows.agg(
+    return rows.agg(
         F.avg(F.abs(F.col("gap_p") - F.col("gap_t"))).alias("gap_mae"),
         F.avg(F.when(big, (F.signum("gap_p") == F.signum("gap_t")).cast("double"))).alias("gap_sign"),
-        F.corr("gap_p", "gap_t").alias("_r"),
+        correlation("gap_p", "gap_t").alias("gap_correlation"),
         F.count("*").alias("experiments"),
-        F.least(F.stddev_pop("gap_p"), F.stddev_pop("gap_t")).alias("_s"),
     )
-    return out.withColumn("gap_correlation", F.when(F.col("experiments") > 2, F.when(F.col("_s") > 1e-9, F.col("_r")).otherwise(0.0))).drop("_r", "_s")
 
 
 def gates(spark: SparkSession, metrics: dict[str, float | None], rules: Sequence[tuple[str, str, float]]) -> DataFrame:
