@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import answers
+from .functions import answers, harmonize
 from .functions.rng import hash_u
 from .functions.taxonomy import crosswalk
-from .operators import estimate, graph, propagate, raking, sampling, score, weighted
+from .operators import bootstrap, cost, estimate, graph, propagate, raking, sampling, score, synthesis, weighted
+from .plans import backtest, simulate
 from .plans import tables as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +472,75 @@ def _(spark, d):
 @_query("hash_uniform", f"SELECT doc_id, {T.U(chr(39) + '1' + chr(39), 'doc_id::VARCHAR')} AS u FROM documents")
 def _(spark, d):
     return T.read(spark, d, "documents").select("doc_id", hash_u(1, F.col("doc_id")).alias("u"))
+
+
+# -- records of two sources
+
+_RECORDS = """r AS (SELECT c_custkey AS k, CAST(c_custkey % 100 AS VARCHAR) AS age, c_custkey % 4 AS sex, c_custkey % 26 AS schl, CASE WHEN c_custkey % 11 > 0 THEN c_custkey % 11 END AS race, c_custkey % 7 AS mar, c_custkey % 40 - 2 AS w FROM customer),
+coded AS (SELECT k, CASE WHEN age::INT < 18 THEN NULL WHEN age::INT < 25 THEN '18-24' WHEN age::INT < 35 THEN '25-34' WHEN age::INT < 45 THEN '35-44' WHEN age::INT < 55 THEN '45-54' WHEN age::INT < 65 THEN '55-64' ELSE '65+' END AS age_band,
+  ['male', 'female'][sex] AS sex, CASE WHEN schl < 1 THEN NULL WHEN schl < 16 THEN 'less_than_hs' WHEN schl < 18 THEN 'high_school' WHEN schl < 21 THEN 'some_college' WHEN schl < 22 THEN 'bachelors' WHEN schl < 25 THEN 'graduate' END AS education,
+  CASE race WHEN 1 THEN 'white' WHEN 2 THEN 'black' ELSE CASE WHEN race IS NOT NULL THEN 'other' END END AS race, ['married', 'widowed', 'divorced', 'separated', 'never_married'][mar] AS marital, CAST(w AS DOUBLE) AS weight FROM r)"""
+
+
+def _records(spark, d) -> DataFrame:
+    """Customers as raw census records: text ages, undocumented codes, missing and negative values."""
+    k = F.col("c_custkey")
+    codes = {"AGEP": (k % 100).cast("string"), "SEX": k % 4, "SCHL": k % 26, "RAC1P": F.nullif(k % 11, F.lit(0)), "MAR": k % 7, "PWGTP": k % 40 - 2}
+    return T.read(spark, d, "customer").select(*[c.alias(n) for n, c in codes.items()])
+
+
+@_query("harmonize_census", f"WITH {_RECORDS} SELECT age_band, sex, education, race, marital, weight FROM coded WHERE age_band IS NOT NULL AND sex IS NOT NULL AND education IS NOT NULL AND race IS NOT NULL AND marital IS NOT NULL AND weight > 0")
+def _(spark, d):
+    return harmonize.census(_records(spark, d))
+
+
+@_query("harmonize_survey", "SELECT c_custkey AS item, CASE WHEN c_custkey % 100 BETWEEN 18 AND 89 THEN CASE WHEN c_custkey % 100 < 25 THEN '18-24' WHEN c_custkey % 100 < 35 THEN '25-34' WHEN c_custkey % 100 < 45 THEN '35-44' WHEN c_custkey % 100 < 55 THEN '45-54' WHEN c_custkey % 100 < 65 THEN '55-64' ELSE '65+' END END AS age_band, ['less_than_hs', 'high_school', 'some_college', 'bachelors', 'graduate'][c_custkey % 6 + 1] AS education, CAST(c_custkey % 3 AS DOUBLE) AS weight FROM customer WHERE c_custkey % 3 > 0")
+def _(spark, d):
+    k = F.col("c_custkey")
+    raw = T.read(spark, d, "customer").select(k.alias("item"), (k % 100).alias("age"), (k % 2 + 1).alias("sex"), (k % 6).alias("degree"), (k % 3 + 1).alias("race"), (k % 5 + 1).alias("marital"), (k % 3).alias("wt"))
+    return harmonize.survey(raw, "wt").select("item", "age_band", "education", "weight")
+
+
+# -- cost, microdata, bootstrap, the grid
+
+@_query("cost_by_model", "WITH c AS (SELECT lang AS model, doc_id % 4 = 0 AS cached, length(text) // 4 AS i, doc_id % 50 AS o, doc_id % 7 AS r, doc_id % 5 AS w FROM documents) SELECT model, count(*) FILTER (WHERE NOT cached) AS calls, count(*) FILTER (WHERE cached) AS cached_calls, round(coalesce(sum((i + 0.1::DOUBLE * r + 1.25::DOUBLE * w) * p.a + o * p.b) FILTER (WHERE NOT cached), 0) / 1e6, 9) AS usd FROM c JOIN (VALUES ('en', 3.0::DOUBLE, 15.0::DOUBLE), ('fr', 1.0, 5.0), ('de', 0.0, 0.0), ('es', 0.0, 0.0)) p(model, a, b) USING (model) GROUP BY 1")
+def _(spark, d):
+    k = F.col("doc_id")
+    calls = T.read(spark, d, "documents").select(F.col("lang").alias("model"), (k % 4 == 0).alias("cached"), answers.token_estimate(F.col("text")).alias("input_tokens"), (k % 50).alias("output_tokens"), (k % 7).alias("cache_read_tokens"), (k % 5).alias("cache_write_tokens"))
+    return cost.dollars(cost.totals(calls), {"en": (3.0, 15.0), "fr": (1.0, 5.0)}).select("model", "calls", "cached_calls", F.round("usd", 9).alias("usd"))
+
+
+@_query("synth_microdata", f"WITH {T.PANEL_C}, t AS (SELECT region AS level, count(*) / (SELECT count(*) FROM supplier)::DOUBLE AS s FROM supplier JOIN nations ON s_nationkey = nation GROUP BY 1) SELECT 'region' AS attribute, level, round(s, 6) AS share FROM t UNION ALL SELECT 'segment', level, round(s, 6) FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {(i + 3) / 25}::DOUBLE)' for i, x in enumerate(T.SEGMENTS))}) v(level, s)")
+def _(spark, d):
+    made = synthesis.from_microdata(spark, T.panel_c(spark, d), 2000, _targets(spark, d), 31, ["openness"], 1e6)
+    return weighted.all_marginals(made, ["region", "segment"]).withColumn("share", F.round("share", 6))
+
+
+@_query("bootstrap_interval")
+def _(spark, d):
+    sample = sampling.stratified(T.sample_d(spark, d).where("p is not null"), 80, ["lang"], 3, "agent_id")
+    low, high = estimate.interval("share")
+    drawn = bootstrap.draws(T.panel_d(spark, d), sample, _DIMS, 2, 200, 23)
+    return drawn.groupBy("option_ix").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def _grid(spark, d, engines) -> DataFrame:
+    bank = T.bank_q(spark, d).withColumns({"question_id": F.col("question_id").cast("string"), "text": F.concat(F.lit("Which priority do the orders of nation "), F.col("question_id"), F.lit(" have?")), "option": F.element_at(F.array(*[F.lit(x) for x in T.PRIORITIES]), F.col("option_ix") + 1)})
+    base = {
+        "name": "grid", "seed": 41, "scenario": {"question_id": "q", "prompt": "-", "options": list(T.PRIORITIES)},
+        "population": {"attributes": ["region", "segment", "balance_band"]},
+        "predictor": {"stratify_by": ["region", "segment"], "archetypes": 200}, "estimator": {"dimensions": ["region", "segment"], "draws": 200},
+    }
+    panel = T.panel_c(spark, d).select("agent_id", "region", "segment", "balance_band", "weight")
+    return simulate.kept(backtest.run(spark, base, engines, bank, lambda s: panel, T.TAXONOMY.attributes))
+
+
+@_query("backtest_prior", f"WITH {T.BANK_Q}, m AS (SELECT b.question_id, b.option_ix, avg(o.topline) AS p FROM bank b JOIN bank o ON o.option_ix = b.option_ix AND o.group_id <> b.group_id GROUP BY 1, 2) SELECT CAST(question_id AS VARCHAR) AS question_id, option_ix, round(p / sum(p) OVER (PARTITION BY question_id), {DP}) AS p FROM m")
+def _(spark, d):
+    return _rounded(_grid(spark, d, ["prior"]).select("question_id", "option_ix", "p"), "p")
+
+
+@_query("backtest_leaderboard")
+def _(spark, d):
+    board = backtest.leaderboard(_grid(spark, d, ["uniform", "prior", "hybrid", "hybrid-no-pooling", "hybrid-100"]))
+    return board.select("engine", "questions", "calls", *[F.round(c, 6).alias(c) for c in ("mae", "brier", "ece", "interval_coverage", "skill_mae")])
