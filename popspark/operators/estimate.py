@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -79,16 +79,20 @@ def draws(posterior: DataFrame, dims: Sequence[str], k: int, n: int, seed: int,
     """by, draw, option_ix, share: Dirichlet draws of every cell, summed by the cells' shares. Seeded by the cell's name, so that questions pair by draw."""
     parameters = posterior.select(*by, F.concat_ws("|", *dims).alias("cell"), "share", F.array(*[F.greatest(F.col("alpha") * F.col(f"mu{i}") + F.col(f"c{i}"), F.lit(FLOOR)) for i in range(k)]).alias("a"))
 
-    def sample(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows["cell"].iloc[0]
-        rng = np.random.default_rng([seed, *name.encode()])
-        found = rng.dirichlet(np.asarray(rows["a"].iloc[0], dtype=float), n) * rows["share"].iloc[0]
-        return pd.DataFrame({**{b: rows[b].iloc[0] for b in by}, "draw": np.repeat(np.arange(n), k), "option_ix": np.tile(np.arange(k), n), "part": found.ravel()})
+    def sample(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            sums: dict[tuple, np.ndarray] = {}
+            for *key, name, share, a in zip(*(rows[c] for c in (*by, "cell", "share", "a")), strict=True):
+                rng = np.random.default_rng([seed, *name.encode()])
+                found = rng.dirichlet(np.asarray(a, dtype=float), n) * share
+                sums[tuple(key)] = sums[tuple(key)] + found if tuple(key) in sums else found
+            for key, found in sums.items():
+                yield pd.DataFrame({**dict(zip(by, key, strict=True)), "draw": np.repeat(np.arange(n), k), "option_ix": np.tile(np.arange(k), n), "part": found.ravel()})
 
     kinds = dict(posterior.dtypes)
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "draw int, option_ix int, part double"])
-    parts = parameters.groupBy(*by, "cell").applyInPandas(sample, schema)
-    return parts.groupBy(*by, "draw", "option_ix").agg(F.sum("part").alias("share"))
+    # cells are summed within each batch before the shuffle
+    return parameters.mapInPandas(sample, schema).groupBy(*by, "draw", "option_ix").agg(F.sum("part").alias("share"))
 
 
 def interval(value: Column | str, level: float = 0.90) -> tuple[Column, Column]:
