@@ -5,7 +5,7 @@ or against every bit with weight (1 + ln count) times a factor of the hash, whic
 the bit. Two fingerprints that differ in h of 128 bits have an estimated cosine of cos(pi h / 128); cut off at 0, that
 is their likeness.
 
-near_pairs() finds every pair of distinct fingerprints within a Hamming radius r: with r + 1 blocks of bits, two such
+search() finds all fingerprints within a Hamming radius r of those asked for: with r + 1 blocks of bits, two such
 fingerprints agree in a block at least; one table a block is keyed by it and matches are verified.
 """
 
@@ -20,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import materialise, small_batches, table
 
-BITS = 128
+BITS, RADIUS = 128, 3
+#: The query asks for the neighbours of the rows whose id is divisible by this.
+ASKED_EVERY = 100
+#: Up to so many fingerprints asked for (their keys: RADIUS + 1 each) are broadcast to the block tables; beyond, joined by shuffle.
+BROADCAST_ROWS = 20_000
 #: Rows of one run of neighbouring ids, the most runs, terms hashed at once, words kept.
 RUN_ROWS, MOST_RUNS, BLOCK, CACHED = 8192, 10_000, 8192, 120_000
 _M1, _M2, _G = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -140,24 +144,46 @@ def compare(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     return dealt.mapInArrow(_compare, OUTPUT)
 
 
-def near_pairs(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """a, b, distance: all pairs a < b of distinct fingerprints (32 hex digits, column fingerprint) within the radius.
+def search(prints: DataFrame, asked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fingerprint, near, distance: for each distinct fingerprint of asked (32 hex digits) all others of prints within the radius.
 
-    Rows that share a fingerprint count once; null fingerprints take no part. radius + 1 blocks: each must be wide
-    enough for its table to be selective, so radii over 7 are refused.
+    Rows that share a fingerprint count once; null fingerprints take no part; empty tables give an empty result.
+    radius + 1 blocks: each must be wide enough for its table to be selective, so radii over 7 are refused. Two
+    fingerprints that agree in several blocks meet in each of them and are reported by the first.
     """
     if not 0 <= radius <= 7:
         raise ValueError("radius must be 0 to 7")
-    blocks = radius + 1
-    edges = [round(i * 32 / blocks) for i in range(blocks + 1)]  # hex digits
-    each = prints.select("fingerprint").where(F.col("fingerprint").isNotNull()).distinct()
-    keys = F.array(*[F.concat(F.lit(f"{i}:"), F.substring("fingerprint", lo + 1, hi - lo)) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
-    tables = each.select("fingerprint", F.explode(keys).alias("key"))
+    edges = [round(i * 32 / (radius + 1)) for i in range(radius + 2)]  # hex digits
+    block = lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
+
+    def tables(df: DataFrame, name: str) -> DataFrame:
+        each = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
+        return each.select(name, F.posexplode(F.array(*[block(name, i) for i in range(radius + 1)])).alias("slot", "key"))
+
+    hint = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
     word = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
     distance = sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(4)), F.lit(0))
-    found = tables.withColumnRenamed("fingerprint", "a").join(tables.withColumnRenamed("fingerprint", "b"), "key").where("a < b")
-    return found.select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
+    first = F.coalesce(*[F.when(block("a", i) == block("b", i), i) for i in range(radius + 1)])
+    met = tables(prints, "b").join(hint(tables(asked, "a")), ["slot", "key"]).where((F.col("a") != F.col("b")) & (first == F.col("slot")))
+    return met.select(F.col("a").alias("fingerprint"), F.col("b").alias("near"), distance.alias("distance")).where(F.col("distance") <= radius)
+
+
+def with_near(prints: DataFrame, every: int = ASKED_EVERY, radius: int = RADIUS) -> DataFrame:
+    """prints (doc_id, fingerprint, more columns) with n_near: how many other rows lie within the radius.
+
+    Asked for are the rows whose doc_id is divisible by every; n_near of the rest, and of null ids, is null. Rows that
+    share a fingerprint are within any radius of each other. prints is read several times: give a written table.
+    """
+    is_asked = F.col("doc_id") % every == 0
+    asked = prints.where(is_asked).select("fingerprint")
+    copies = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    others = search(prints, asked, radius)
+    others = others.join(copies.withColumnRenamed("fingerprint", "near"), "near").groupBy("fingerprint").agg(F.sum("n").alias("others"))
+    counts = copies.join(asked.distinct(), "fingerprint", "left_semi").join(others, "fingerprint", "left")
+    hint = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
+    counts = hint(counts.select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_near")))
+    return prints.join(counts, "fingerprint", "left").select(*prints.columns, F.when(is_asked, F.col("_near")).alias("n_near"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare(table(spark, sf_dir, "documents"))
+    return with_near(materialise(compare(table(spark, sf_dir, "documents")), "fingerprints"))

@@ -90,15 +90,31 @@ def test_simhash_against_brute_force(docs):
     assert np.mean([r["near_edited"] for r in out.values()]) > np.mean([r["near_next"] for r in out.values()]) + 0.3
 
 
-def test_near_pairs_finds_all(spark):
+def test_block_tables_find_all(spark):
     rng = random.Random(3)
     prints = [rng.getrandbits(128) for _ in range(60)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(128), rng.randint(1, 5))) for p in prints]
     df = spark.createDataFrame([(f"{p:032x}",) for p in prints] + [(None,)], "fingerprint string")
-    got = {(r["a"], r["b"], r["distance"]) for r in simhash.near_pairs(df, 3).collect()}
     names = sorted({f"{p:032x}" for p in prints})
-    want = {(a, b, d) for i, a in enumerate(names) for b in names[i + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= 3}
-    assert got == want and want
+    for radius in (0, 3, 5):
+        got = collections.Counter(tuple(r) for r in simhash.search(df, df, radius).collect())
+        near = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+        assert got == collections.Counter((a, b, near(a, b)) for a in names for b in names if a != b and near(a, b) <= radius)
+    assert len({r["fingerprint"] for r in simhash.search(df, df.limit(5), 5).collect()}) <= 5
+    assert simhash.search(df.limit(0), df).count() == 0 and simhash.search(df, df.limit(0)).count() == 0
+
+
+def test_near_counts_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    rows = [(i, base[i % 40] ^ sum(1 << b for b in rng.sample(range(128), rng.choice((0, 0, 1, 2, 4))))) for i in range(600)] + [(None, base[0]), (100, base[1])]
+    df = spark.createDataFrame([(i, f"{p:032x}", 1) for i, p in rows], "doc_id long, fingerprint string, n long")
+    want = collections.Counter((i, None if i is None or i % 100 else sum((p ^ q).bit_count() <= 3 for _, q in rows) - 1) for i, p in rows)
+    for most in (simhash.BROADCAST_ROWS, 0):  # broadcast, and by shuffle
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        got = simhash.with_near(df)
+        assert got.columns == ["doc_id", "fingerprint", "n", "n_near"]
+        assert collections.Counter((r["doc_id"], r["n_near"]) for r in got.collect()) == want
 
 
 # -- quality
@@ -390,7 +406,7 @@ def run_all(docs, labels):
     tree = sharding.Tree.balanced(24)
     return {
         "sharding": sharding.shard(docs, tree),
-        "simhash": simhash.compare(docs, run_rows=4),
+        "simhash": simhash.with_near(simhash.compare(docs, run_rows=4)),
         "quality": quality.score(docs, quality.fit(docs, labels)),
         "mixing": mixing.mix(docs),
         "pii": pii.find(docs.select("doc_id", "text"), finish=pii._digest, schema="doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"),
