@@ -4,8 +4,8 @@ Every position of a document's bytes meets WIDTH learned tables, one for each by
 the responses of FILTERS filters. Rectified responses are max-pooled over overlapping chunks of 2 HALF bytes that cover
 the whole document; the mean and the maximum over the chunks enter a hidden layer and a logistic output.
 
-Training takes at most PER_CLASS labelled rows a class, chosen by hash of the id, and a window of at most TRAIN_BYTES
-of each at a time: bounds that don't grow with the input. Scoring reads every byte of every text.
+Training takes at most PER_CLASS labelled rows a class, chosen by hash of the id, at most PIECES windows of TRAIN_BYTES
+of each, and a window at a time: bounds that don't grow with the input. Scoring reads every byte of every text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import small_batches, table
 
 WIDTH, FILTERS, HIDDEN, HALF, PAD = 6, 24, 16, 128, 256
 PER_CLASS, TRAIN_BYTES, STEPS, BATCH, RATE = 2500, 6144, 500, 48, 0.01
+#: A labelled text longer than so many windows is learned from by as many pieces, evenly over the whole text.
+PIECES = 4
 #: Positions convolved at once.
 BLOCK = 16 * HALF
 THRESHOLD = 0.3
@@ -135,6 +137,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def pieces(text: Column, count: int = PIECES, width: int = TRAIN_BYTES) -> Column:
+    """The text, or where it is longer than that count pieces of width code points, the first at its start, the last at its end."""
+    last = F.length(text) - width
+    parts = [F.substring(text, (F.floor(last * i / (count - 1)) + 1).cast("int"), F.lit(width)) for i in range(count)]
+    return F.when(F.length(text) > count * width, F.concat(*parts)).otherwise(text)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = STEPS):
     """A model from at most per_class labelled rows a class that aren't held out (docs: doc_id, text; labels: doc_id, quality)."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
@@ -146,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: i
         some = known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, quality int")  # at most 2 per_class rows
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text").orderBy("doc_id", "h").limit(4 * per_class).toArrow()
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), pieces(F.col("text")).alias("text")).orderBy("doc_id", "h").limit(4 * per_class).toArrow()
     texts = [t.encode() for t in rows.column("text").to_pylist()]
     y = rows.column("quality").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:

@@ -142,6 +142,16 @@ def test_quality_network_blocks_agree():
         assert np.allclose(net.features(text), np.concatenate([chunks.mean(0), chunks.max(0)]), atol=1e-5)
 
 
+def test_quality_pieces_bound_what_is_learned_from(spark):
+    texts = ["", "abc", "x" * 24, "".join(chr(200 + i) for i in range(25)), "".join(chr(200 + i) for i in range(1000))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
+    got = {r["i"]: r["p"] for r in df.select("i", quality.pieces(F.col("t"), 4, 6).alias("p")).collect()}
+    assert got.pop(9) is None
+    for i, t in enumerate(texts):
+        last = len(t) - 6
+        assert got[i] == (t if len(t) <= 24 else "".join(t[last * k // 3 :][:6] for k in range(4)))
+
+
 def test_quality_without_labels_is_constant(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert isinstance(quality.fit(docs, empty), quality.Constant)
