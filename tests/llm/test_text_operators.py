@@ -377,6 +377,39 @@ def test_scoring_gradient():
     assert loss(flat) < before - 0.2
 
 
+def test_scoring_counts_every_word_exactly(spark, monkeypatch):
+    seen: dict[int, str] = {}
+    for i in range(100_000):  # two words of one token
+        word = f"w{i}"
+        common = seen.setdefault(int(scoring.tokens(word)[0]), word)
+        if common != word:
+            break
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice([common, "lorem", "ipsum", "dolor", f"only{rng.randrange(400)}"]) for _ in range(60)) for _ in range(80)]
+    texts += [f"lorem {word} ipsum", f"lorem {common} ipsum", f"lorem {word} ipsum", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = collections.Counter(w for t in texts for w in (t or "").split())
+    assert n[word] == 2 and n[common] > 500
+    for head in (scoring.HEAD, 3):  # from the workers' own counts, and by the join
+        monkeypatch.setattr(scoring, "HEAD", head)
+        model = scoring.fit(docs, rounds=1)
+        assert len(model.head) == min(head, len(n)) and {bytes(r["word"]).decode(): r["n"] for r in model.words.collect()} == n
+        mass = np.bincount(model.of, minlength=scoring.CLASSES) * scoring.UNSEEN
+        for w, k in n.items():
+            mass[model.of[scoring.tokens(w)[0]]] += k
+        assert np.allclose(np.exp(model.mass), mass)
+        got = {r["doc_id"]: r["log_prob"] for r in scoring.score(docs, model).collect()}
+        for i, text in enumerate(texts):
+            found = scoring.tokens(text or "")
+            classes = model.of[found]
+            _, logits, norm = model.forward(model.flat, model.neighbours(classes, np.arange(len(found)))) if len(found) else (None, np.zeros((0, 1)), np.zeros(0))
+            want = float(sum(logits[j, c] - norm[j] - model.mass[c] + math.log(n[w]) for j, (c, w) in enumerate(zip(classes, (text or "").split(), strict=True))))
+            assert got[i] == pytest.approx(want, abs=1e-3)
+        assert got[81] - got[80] == pytest.approx(math.log(n[common] / n[word]), abs=1e-3)
+        unseen = scoring.score(spark.createDataFrame([(1, "lorem never-seen"), (2, f"lorem {word}")], "doc_id long, text string"), model)
+        assert unseen.where("log_prob is null or log_prob >= 0").count() == 0
+
+
 # -- top-k
 
 
