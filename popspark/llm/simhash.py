@@ -5,8 +5,10 @@ or against every bit with weight (1 + ln count) times a factor of the hash, whic
 the bit. Two fingerprints that differ in h of 128 bits have an estimated cosine of cos(pi h / 128); cut off at 0, that
 is their likeness.
 
-search() finds all fingerprints within a Hamming radius r of those asked for: with r + 1 blocks of bits, two such
-fingerprints agree in a block at least; one table a block is keyed by it and matches are verified.
+search() finds all fingerprints within a Hamming radius r of those asked for. One table a block of bits is keyed by it, and
+matches are verified. With r + 1 blocks, two such fingerprints agree in a block at least. Larger radii have BLOCKS wider
+blocks, m: r = s m + a bits that differ leave at most s in one of the first a + 1 blocks, or at most s - 1 in one of the
+others; the tables are asked for all keys within so many bits of the fingerprint's own.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, table
 
 BITS, RADIUS = 128, 3
+#: The query's radius: texts that share 0.8 of their passages mostly differ in fewer bits. Blocks for radii over 7, and the largest radius they serve.
+NEAR_RADIUS, BLOCKS, MOST = 16, 6, 17
 #: The query asks for the neighbours of the rows whose id is divisible by this.
 ASKED_EVERY = 100
-#: Up to so many fingerprints asked for (their keys: RADIUS + 1 each) are broadcast to the block tables; beyond, joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Up to so many fingerprints asked for, and KEYS times as many keys of theirs, are broadcast; beyond, joined by shuffle.
+BROADCAST_ROWS, KEYS = 20_000, 50
 #: Rows of one run of neighbouring ids, the most runs, terms hashed at once, words kept.
 RUN_ROWS, MOST_RUNS, BLOCK, CACHED = 8192, 10_000, 8192, 120_000
 _M1, _M2, _G = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
@@ -148,23 +153,35 @@ def search(prints: DataFrame, asked: DataFrame, radius: int = RADIUS) -> DataFra
     """fingerprint, near, distance: for each distinct fingerprint of asked (32 hex digits) all others of prints within the radius.
 
     Rows that share a fingerprint count once; null fingerprints take no part; empty tables give an empty result.
-    radius + 1 blocks: each must be wide enough for its table to be selective, so radii over 7 are refused. Two
-    fingerprints that agree in several blocks meet in each of them and are reported by the first.
+    Blocks must be wide enough for their tables to be selective and few keys be asked for, so radii over MOST are refused.
+    Two fingerprints that are near in several blocks meet in each of them and are reported by the first.
     """
-    if not 0 <= radius <= 7:
-        raise ValueError("radius must be 0 to 7")
-    edges = [round(i * 32 / (radius + 1)) for i in range(radius + 2)]  # hex digits
-    block = lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
+    if not 0 <= radius <= MOST:
+        raise ValueError(f"radius must be 0 to {MOST}")
+    n = radius + 1 if radius <= 7 else BLOCKS
+    edges = [round(i * 32 / n) for i in range(n + 1)]  # hex digits
+    within = [radius // n - (i > radius % n) for i in range(n)]
+    text = lambda c, i: F.substring(c, edges[i] + 1, edges[i + 1] - edges[i])
+    block = text if n == radius + 1 else lambda c, i: F.conv(text(c, i), 16, 10).cast("long")
+    masks = [(i, sum(1 << b for b in bits)) for i in range(n) for k in range(within[i] + 1) for bits in combinations(range(4 * (edges[i + 1] - edges[i])), k)]
 
     def tables(df: DataFrame, name: str) -> DataFrame:
         each = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        return each.select(name, F.posexplode(F.array(*[block(name, i) for i in range(radius + 1)])).alias("slot", "key"))
+        return each.select(name, F.posexplode(F.array(*[block(name, i) for i in range(n)])).alias("slot", "key"))
 
-    hint = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
     word = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
     distance = sum((F.bit_count(word("a", i).bitwiseXOR(word("b", i))) for i in range(4)), F.lit(0))
-    first = F.coalesce(*[F.when(block("a", i) == block("b", i), i) for i in range(radius + 1)])
-    met = tables(prints, "b").join(hint(tables(asked, "a")), ["slot", "key"]).where((F.col("a") != F.col("b")) & (first == F.col("slot")))
+    keys = tables(asked, "a")
+    if n == radius + 1:
+        near = [block("a", i) == block("b", i) for i in range(n)]
+    else:
+        near = [F.bit_count(block("a", i).bitwiseXOR(block("b", i))) <= within[i] for i in range(n)]
+        around = prints.sparkSession.createDataFrame(masks, "slot int, mask long")
+        keys = keys.join(F.broadcast(around), "slot").select("a", "slot", F.col("key").bitwiseXOR(F.col("mask")).alias("key"))
+    first = F.coalesce(*[F.when(x, i) for i, x in enumerate(near)])
+    if asked.count() * len(masks) <= KEYS * BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    met = tables(prints, "b").join(keys, ["slot", "key"]).where((F.col("a") != F.col("b")) & (first == F.col("slot")))
     return met.select(F.col("a").alias("fingerprint"), F.col("b").alias("near"), distance.alias("distance")).where(F.col("distance") <= radius)
 
 
@@ -186,4 +203,4 @@ def with_near(prints: DataFrame, every: int = ASKED_EVERY, radius: int = RADIUS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_near(materialise(compare(table(spark, sf_dir, "documents")), "fingerprints"))
+    return with_near(materialise(compare(table(spark, sf_dir, "documents")), "fingerprints"), radius=NEAR_RADIUS)

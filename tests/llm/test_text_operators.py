@@ -117,6 +117,20 @@ def test_near_counts_against_brute_force(spark, monkeypatch):
         assert collections.Counter((r["doc_id"], r["n_near"]) for r in got.collect()) == want
 
 
+def test_near_copies_are_found_against_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    prints = [rng.getrandbits(128) for _ in range(50)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(128), k)) for p in prints[:40] for k in (1, 9, 15, 16, 17, 18)]
+    df = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
+    asked = df.where("substring(fingerprint, 1, 1) < '8'")
+    near = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    names, wanted = sorted({f"{p:032x}" for p in prints}), {r["fingerprint"] for r in asked.collect()}
+    for radius, most in ((16, simhash.BROADCAST_ROWS), (16, 0), (11, 0), (17, 0)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        want = collections.Counter((a, b, near(a, b)) for a in names if a in wanted for b in names if a != b and near(a, b) <= radius)
+        assert collections.Counter(tuple(r) for r in simhash.search(df, asked, radius).collect()) == want and len(want) > 100
+
+
 # -- quality
 
 
