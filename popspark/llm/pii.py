@@ -3,9 +3,16 @@
 Base patterns find the protected entities. What else gives an entity away is estimated from the corpus: with W words,
 c(e) mentions of entity e, c(t) occurrences of term t and c(e, t) mentions of e with t within NEAR words, t discloses
 the share PMI(e; t) / IC(e) = log(c(e, t) W / (c(e) c(t))) / log(W / c(e)) of what there is to know about e. Terms that
-reach a threshold, in at least SUPPORT unlike contexts (so that copies don't count), are personal data too, wherever they
+reach a threshold, and stand near entities more often than chance would have it, are personal data too, wherever they
 stand: from GENERALISE on they are generalised to a placeholder, from REMOVE on removed.
 
+Evidence is by term, over all entities, so that an entity mentioned once has its terms too. Of the c(t) occurrences of a
+term, k distinct documents have it near some entity; a word is near one by chance with the share p of words that are. The
+chance of k or more, given one (that is how t became a candidate, and proves nothing), is bounded by Chernoff's bound
+exp(-c KL(k/c, p)) / (1 - (1 - p)^c). Terms pass by Benjamini and Hochberg's rule: of those that do, a share of at most
+FALSE is expected to be there by chance. Copies share their document, near copies mostly (least hashes of
+their passages).
+
 Counting: contexts of entities are few and are summed by (entity, term); candidates are then counted over all words.
 Candidate terms go to the workers in slices of at most SLICE terms, one pass of the texts a slice.
 """
@@ -13,9 +20,12 @@ Candidate terms go to the workers in slices of at most SLICE terms, one pass of
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from heapq import nsmallest
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +35,9 @@ from .common import materialise, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PLACEHOLDER = tuple(f"<{k.upper()}>" for k in KINDS)
-NEAR, SUPPORT, GENERALISE, REMOVE, SLICE = 5, 3, 0.95, 0.995, 200_000
+NEAR, FALSE, GENERALISE, REMOVE, SLICE = 5, 0.05, 0.95, 0.995, 200_000
+#: Words of a passage that tells documents apart; steps of the log chance in a power of e, and the most of them.
+PASSAGE, STEPS, MOST_STEPS = 5, 10, 2000
 #: Words on either side are looked for within so many characters.
 REACH = 400
 
@@ -92,24 +104,31 @@ def _hash(x: str) -> int:
     return int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def _document(text: str) -> int:
+    """The two least hashes of the text's passages: equal for copies, and for near copies with about their likeness squared as
+    chance; one hash would too often be of a line that unlike documents share."""
+    words = [crc32(w) for w in text.encode().lower().split()]
+    return hash(tuple(nsmallest(2, {hash(tuple(words[i : i + PASSAGE])) for i in range(max(1, len(words) - PASSAGE + 1))})))
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, term, context for the terms near each base span; term null once a mention."""
+    """entity, term, document for the terms near each base span; term null once a mention."""
     for batch in batches:
         rows: list[tuple] = []
         for text in batch.column(0):
             text = text.as_py() or ""
             base = base_spans(text)
+            document = _document(text) if base else 0
             for kind, a, b in base:
                 entity = _hash(f"{kind}:{text[a:b].lower()}")
                 # a word cut by the edge of the reach is left out
                 left = [m for m in TERM.finditer(text, max(0, a - REACH), a) if m.start() > a - REACH or a <= REACH][-NEAR:]
                 right = [m for m in TERM.finditer(text, b, min(len(text), b + REACH)) if m.end() < b + REACH][:NEAR]
                 near = [m[0].lower() for m in (*left, *right) if not any(x < m.end() and m.start() < y for _, x, y in base)]
-                context = _hash(" ".join(near))
-                rows.append((entity, None, context))
-                rows += [(entity, t, context) for t in set(near)]
+                rows.append((entity, None, document))
+                rows += [(entity, t, document) for t in set(near)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "document"])
 
 
 def _count(terms):
@@ -134,16 +153,33 @@ def _slices(terms: DataFrame, size: int) -> Iterator[list]:
         yield terms.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == i).collect()
 
 
-def disclosing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE, size: int = SLICE) -> DataFrame:
+def _evident(counted: DataFrame, tested: int, p: float, false: float) -> DataFrame:
+    """The terms of counted (term, c_t, k) that aren't there by chance; tested: all candidates, those left out have k = 1."""
+    c, k = F.col("c_t").cast("double"), F.least(F.col("k"), F.col("c_t")).cast("double")
+    q, p = k / c, min(max(p, 1e-12), 0.5)
+    rest = F.when(q < 1, (c - k) * F.ln((1 - q) / (1 - p))).otherwise(0.0)
+    chance = F.when(q > p, -(k * F.ln(q / p) + rest) - F.ln(-F.expm1(c * F.log1p(F.lit(-p))))).otherwise(0.0)
+    step = F.least(F.floor(F.greatest(-chance, F.lit(0.0)) * STEPS), F.lit(MOST_STEPS)).cast("int")
+    steps = counted.withColumn("step", step)
+    rank, least = 0, None
+    for r in steps.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most MOST_STEPS
+        rank += r["count"]
+        if math.exp(-r["step"] / STEPS) * tested <= false * rank:
+            least = r["step"]
+    return steps.where(F.lit(False) if least is None else F.col("step") >= least).select("term", "c_t")
+
+
+def disclosing_terms(docs: DataFrame, false: float = FALSE, threshold: float = GENERALISE, size: int = SLICE) -> DataFrame:
     """term, share: terms that disclose at least the threshold of some entity (docs: text; more columns are ignored)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("text").where("text is not null")
-    seen = materialise(texts.mapInArrow(_contexts, "entity long, term string, context long"), "contexts")
+    seen = materialise(texts.mapInArrow(_contexts, "entity long, term string, document long"), "contexts")
     mentions = seen.where("term is null").groupBy("entity").agg(F.count("*").alias("c_e"))
-    pairs = seen.where("term is not null").groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("c_et"), F.count("*").alias("contexts"))
-    pairs = materialise(pairs.where(F.col("contexts") >= support), "pairs")
-    candidates = pairs.select("term").distinct()
+    near = seen.where("term is not null")
+    support = materialise(near.groupBy("term", "document").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("k"), F.sum("n").alias("n")), "support")
+    size_of = support.agg(F.count("*").alias("tested"), F.sum("n").alias("near")).collect()[0]
+    candidates = support.where("k > 1").select("term")  # one document proves nothing
     counted = None
     for rows in _slices(candidates, size):
         held = spark.sparkContext.broadcast(frozenset(r["term"] for r in rows))  # about SLICE terms
@@ -152,7 +188,9 @@ def disclosing_terms(docs: DataFrame, support: int = SUPPORT, threshold: float =
     if counted is None:
         return spark.createDataFrame([], "term string, share double")
     total = counted.where("term is null").collect()[0]["c_t"]
-    known = pairs.join(counted.where("term is not null"), "term").join(mentions, "entity")
+    evident = _evident(counted.where("term is not null").join(support.select("term", "k"), "term"), size_of["tested"], size_of["near"] / total, false)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("c_et"))
+    known = pairs.join(evident, "term").join(mentions, "entity")
     share = F.ln(F.col("c_et") * F.lit(float(total)) / (F.col("c_e") * F.col("c_t"))) / F.greatest(F.ln(F.lit(float(total)) / F.col("c_e")), F.lit(1e-9))
     return materialise(known.select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold), "terms")
 

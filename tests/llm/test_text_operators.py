@@ -236,6 +236,20 @@ def test_pii_terms_that_disclose(spark):
     assert sliced == {tuple(r["_found"]) for r in pii.find(docs, spark.createDataFrame([("zorblax", 1.0), ("amet", 1.0)], "term string, share double")).collect()} or len(sliced) > 1
 
 
+def test_pii_terms_of_rare_entities(spark):
+    rng, filler = random.Random(3), ["lorem", "ipsum", "dolor", "amet", "sit", "elit", "magna", "aliqua"]
+    some = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    texts = [some(60) for _ in range(3000)]
+    for i in range(40):  # two documents a person: addresses mentioned once, and one whose line is always the same
+        name = "quil" + "".join(chr(97 + int(d)) for d in f"{i:02d}")
+        mails = (f"x{i}@example.com", f"y{i}@example.com") if i % 2 else (f"x{i}@example.com",) * 2
+        texts += [f"{some(20)} Contact Mister {name} {m} with regards yours truly always {some(20)}" for m in mails]
+    texts += [f"{some(30)} copied z@example.com {some(30)}"] * 5  # copies are no evidence
+    texts += [f"{some(30)} chance{chr(97 + i)} z{i}@example.org {some(30)}" for i in range(5)]  # nor is a single sighting
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["term"] for r in pii.disclosing_terms(docs, threshold=0.9).collect()} == {"quil" + "".join(chr(97 + int(d)) for d in f"{i:02d}") for i in range(40)}
+
+
 # -- BPE
 
 
