@@ -386,55 +386,109 @@ def test_scoring_prefers_natural_order(spark):
     a = {r["doc_id"]: r for r in scoring.score(natural, model).collect()}
     b = {r["doc_id"]: r for r in scoring.score(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()}
     assert np.mean([a[i]["log_prob"] > b[i]["log_prob"] for i in a if a[i]["n_tokens"] > 50]) > 0.7
-    assert np.exp(model.share).sum() == pytest.approx(scoring.CLASSES, abs=0.5)
 
 
-def test_scoring_gradient():
-    model = scoring.Model(np.ones(scoring.TOKENS))
+def small_model(seed: int = 1, shapes: int = 16):
+    rng = random.Random(seed)
+    top = [("".join(rng.choice("abcdefgh") for _ in range(5)).encode(), 900 - i) for i in range(400)]
+    return scoring.Model(top, np.array([float(rng.randrange(50)) for _ in range(shapes * scoring.RARE)]), shapes, top), top
+
+
+def test_scoring_gradient_against_differences():
+    model, _ = small_model()
     rng = np.random.default_rng(1)
-    classes = rng.integers(0, scoring.CLASSES, 200).astype(np.int32)
-    near, flat, past = model.neighbours(classes, np.arange(200)), model.flat.copy(), np.zeros_like(model.flat)
-
-    def loss(f):
-        _, logits, norm = model.forward(f, near)
-        return float((norm - logits[np.arange(200), classes]).mean())
-
-    before = loss(flat)
-    for _ in range(30):
-        model.step(flat, past, near, classes)
-    assert loss(flat) < before - 0.2
-
-
-def test_scoring_counts_every_word_exactly(spark, monkeypatch):
-    seen: dict[int, str] = {}
-    for i in range(100_000):  # two words of one token
-        word = f"w{i}"
-        common = seen.setdefault(int(scoring.tokens(word)[0]), word)
-        if common != word:
-            break
+    truth = rng.integers(0, model.units, 300)
+    near = rng.integers(0, model.units + 1, (2 * scoring.SIDES, 300))
+    flat = model.flat.astype(np.float64)
+    found, loss = model.gradient(flat, near, truth)
+    whole = np.zeros_like(flat)
+    parts = model.parts(whole)
+    for part, rows, g in found:
+        parts[part][rows] += g
+    direction = rng.normal(size=len(flat))
+    h = 1e-5
+    change = (model.gradient(flat + h * direction, near, truth)[1] - model.gradient(flat - h * direction, near, truth)[1]) / (2 * h)
+    assert change == pytest.approx(float(whole @ direction), rel=1e-3, abs=1e-6)
+    for i in rng.choice(np.flatnonzero(whole), 25):
+        one = np.zeros_like(flat)
+        one[i] = h
+        assert (model.gradient(flat + one, near, truth)[1] - model.gradient(flat - one, near, truth)[1]) / (2 * h) == pytest.approx(whole[i], rel=1e-2, abs=1e-7)
+    model.flat = flat.astype(np.float32)
+    assert -model.log_probs(near, truth).mean() == pytest.approx(loss, rel=1e-4)
+
+
+def test_scoring_units_hold_all_probability():
+    model, _ = small_model()
+    near = np.array([[5], [300], [model.pad], [17]])
+    every = np.arange(model.units)
+    assert np.exp(model.log_probs(np.repeat(near, model.units, 1), every)).sum() == pytest.approx(1, abs=1e-4)
+    other = np.array([[5], [301], [2], [17]])
+    change = model.log_probs(np.repeat(near, model.units, 1), every) - model.log_probs(np.repeat(other, model.units, 1), every)
+    same_class = [model.of[every] == c for c in range(scoring.SINGLES, model.classes)]
+    assert all(np.ptp(change[x]) > 1e-4 for x in same_class if x.sum() > 1)  # the context moves units within a class too
+
+
+def test_scoring_texts_of_a_batch_do_not_meet():
+    model, _ = small_model()
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, model.units, n) for n in (0, 1, 2, 9000, 0, 30, 8192, 5)]
+    assert model.score(texts) == pytest.approx([model.score([t])[0] for t in texts])
+    assert model.score([]).tolist() == []
+
+
+@pytest.fixture(scope="module")
+def words(spark):
     rng = random.Random(7)
-    texts = [" ".join(rng.choice([common, "lorem", "ipsum", "dolor", f"only{rng.randrange(400)}"]) for _ in range(60)) for _ in range(80)]
-    texts += [f"lorem {word} ipsum", f"lorem {common} ipsum", f"lorem {word} ipsum", "", None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    n = collections.Counter(w for t in texts for w in (t or "").split())
-    assert n[word] == 2 and n[common] > 500
-    for head in (scoring.HEAD, 3):  # from the workers' own counts, and by the join
+    names = [f"{a}{b}" for a in ("lor", "ips", "dol", "ame", "sit", "eli") for b in ("em", "um", "or", "it", "at")]
+    texts = [" ".join(rng.choices(names + [f"only{rng.randrange(3000)}"], range(len(names) + 1, 0, -1), k=rng.randrange(80))) for _ in range(300)]
+    return texts + ["Lorem, ipsum", "", None, " \t\n", texts[0], texts[0]]
+
+
+def test_scoring_does_not_depend_on_partitioning(spark, words):
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    made = []
+    for n in (1, 8, 211):
+        model = scoring.fit(docs.repartition(n), group_tokens=1500, parts=2)
+        made.append((model.flat.tobytes(), [r["log_prob"] for r in scoring.score(docs.repartition(n), model).orderBy("doc_id").collect()]))
+    assert len({m for m, _ in made}) == 1
+    assert made[0][1] == pytest.approx(made[1][1], rel=1e-6) and made[0][1] == pytest.approx(made[2][1], rel=1e-6)
+
+
+def test_scoring_against_brute_force(spark, words, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    n = collections.Counter(w.encode() for t in words for w in (t or "").lower().split())
+    by_count = sorted(n, key=lambda w: (-n[w], w))
+    for head, frequent in ((scoring.HEAD, scoring.FREQUENT), (3, 1)):  # counts from the workers' own, and by the join; few units
         monkeypatch.setattr(scoring, "HEAD", head)
-        model = scoring.fit(docs, rounds=1)
-        assert len(model.head) == min(head, len(n)) and {bytes(r["word"]).decode(): r["n"] for r in model.words.collect()} == n
-        mass = np.bincount(model.of, minlength=scoring.CLASSES) * scoring.UNSEEN
+        monkeypatch.setattr(scoring, "FREQUENT", frequent)
+        model = scoring.fit(docs, rounds=1, group_tokens=3000)
+        shapes = scoring.shapes_for(len(n))
+        assert model.shapes == shapes and {bytes(r["word"]): r["n"] for r in model.words.collect()} == n
+        own = by_count[: scoring.SINGLES + frequent * shapes]
+        mass = collections.Counter()
         for w, k in n.items():
-            mass[model.of[scoring.tokens(w)[0]]] += k
-        assert np.allclose(np.exp(model.mass), mass)
+            mass[w if w in own else (zlib.crc32(w[-2:]) % shapes, zlib.crc32(w) % scoring.RARE)] += k
+        e, place, of_class, class_bias, of_unit, unit_bias = (x.astype(np.float64) for x in model.parts(model.flat))
+
+        def log_softmax(x):
+            return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
         got = {r["doc_id"]: r["log_prob"] for r in scoring.score(docs, model).collect()}
-        for i, text in enumerate(texts):
-            found = scoring.tokens(text or "")
-            classes = model.of[found]
-            _, logits, norm = model.forward(model.flat, model.neighbours(classes, np.arange(len(found)))) if len(found) else (None, np.zeros((0, 1)), np.zeros(0))
-            want = float(sum(logits[j, c] - norm[j] - model.mass[c] + math.log(n[w]) for j, (c, w) in enumerate(zip(classes, (text or "").split(), strict=True))))
-            assert got[i] == pytest.approx(want, abs=1e-3)
-        assert got[81] - got[80] == pytest.approx(math.log(n[common] / n[word]), abs=1e-3)
-        unseen = scoring.score(spark.createDataFrame([(1, "lorem never-seen"), (2, f"lorem {word}")], "doc_id long, text string"), model)
+        for i, text in enumerate(words):
+            found = [w.encode() for w in (text or "").lower().split()]
+            at, want = [model.pad] * 2 + [model.unit(w) for w in found] + [model.pad] * 2, 0.0
+            for j, w in enumerate(found):
+                u = at[j + 2]
+                hidden = np.tanh(sum(e[at[j + k]] * place[m] for m, k in enumerate((0, 1, 3, 4))))
+                c = u if u < scoring.SINGLES else scoring.SINGLES + zlib.crc32(w[-2:]) % shapes
+                want += log_softmax(of_class @ hidden + class_bias)[c]
+                if c >= scoring.SINGLES:
+                    a, b = model.edges[c - scoring.SINGLES], model.edges[c - scoring.SINGLES + 1]
+                    want += log_softmax(of_unit[a:b] @ hidden + unit_bias[a:b])[u - a]
+                key = w if w in own else (zlib.crc32(w[-2:]) % shapes, zlib.crc32(w) % scoring.RARE)
+                want += math.log(n[w] / (mass[key] + scoring.UNSEEN))
+            assert got[i] == pytest.approx(want, rel=1e-4, abs=1e-3), (i, text)
+        unseen = scoring.score(spark.createDataFrame([(1, "lorem never-seen")], "doc_id long, text string"), model)
         assert unseen.where("log_prob is null or log_prob >= 0").count() == 0
 
 
