@@ -4,8 +4,10 @@ Every position of a document's bytes meets WIDTH learned tables, one for each by
 the responses of FILTERS filters. Rectified responses are max-pooled over overlapping chunks of 2 HALF bytes that cover
 the whole document; the mean and the maximum over the chunks enter a hidden layer and a logistic output.
 
-Training takes at most PER_CLASS labelled rows a class, chosen by hash of the id, at most PIECES windows of TRAIN_BYTES
-of each, and a window at a time: bounds that don't grow with the input. Scoring reads every byte of every text.
+Training takes at most PER_CLASS labelled rows a class, chosen by hash of the id. Each of its STEPS draws BATCH windows of
+TRAIN_BYTES bytes, which start anywhere in the whole text of a chosen row; what is drawn is settled from the sizes alone,
+and the windows are cut where the texts are, so that the driver holds STEPS x BATCH windows at most however long the texts
+are. Scoring reads every byte of every text.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from .common import small_batches, table
 
 WIDTH, FILTERS, HIDDEN, HALF, PAD = 6, 24, 16, 128, 256
 PER_CLASS, TRAIN_BYTES, STEPS, BATCH, RATE = 2500, 6144, 500, 48, 0.01
-#: A labelled text longer than so many windows is learned from by as many pieces, evenly over the whole text.
-PIECES = 4
 #: Positions convolved at once.
 BLOCK = 16 * HALF
 THRESHOLD = 0.3
@@ -77,42 +77,47 @@ class Network:
             return np.zeros(0)
         return self.output(np.stack([self.features(t) for t in texts]))[1].astype(np.float64)
 
-    def train(self, texts: list[bytes], labels: np.ndarray, weights: np.ndarray, steps: int = STEPS, seed: int = 11) -> Network:
-        rng, p = np.random.default_rng(seed), self.p
+    def gradient(self, windows: list[bytes], labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of the weighted log loss of some windows, and that loss."""
+        p, features, routes = self.p, [], []
+        for window in windows:
+            data = self.padded(np.frombuffer(window, np.uint8))
+            r = self.responses(data).reshape(-1, HALF, FILTERS)
+            at = r.argmax(1)
+            h = np.take_along_axis(r, at[:, None, :], 1)[:, 0, :]
+            at = at + np.arange(len(h))[:, None] * HALF
+            if len(h) > 1:
+                later = h[1:] > h[:-1]
+                h, at = np.where(later, h[1:], h[:-1]), np.where(later, at[1:], at[:-1])
+            h = np.maximum(h + p["bias"], 0)
+            features.append(np.concatenate([h.mean(0), h.max(0)]))
+            routes.append((data, at, h > 0, h.argmax(0)))
+        x = np.stack(features)
+        hidden, score = self.output(x)
+        share = weights / weights.sum()
+        loss = -float((share * np.log(np.where(labels == 1, score, 1 - score))).sum())
+        error = ((score - labels) * share).astype(x.dtype)
+        inner = error[:, None] * p["w2"] * (1 - hidden**2)
+        grad = {"w2": hidden.T @ error, "b2": np.array([error.sum()], x.dtype), "w1": x.T @ inner, "b1": inner.sum(0), "table": np.zeros_like(p["table"]), "bias": np.zeros_like(p["bias"])}
+        back = inner @ p["w1"].T
+        for (data, at, live, top), g in zip(routes, back, strict=True):
+            d = np.repeat(g[None, :FILTERS] / len(at), len(at), 0)
+            d[top, np.arange(FILTERS)] += g[FILTERS:]
+            d = d * live
+            grad["bias"] += d.sum(0)
+            f = np.broadcast_to(np.arange(FILTERS), at.shape)
+            for j in range(WIDTH):
+                np.add.at(grad["table"][j], (data[at + j], f), d)
+        return grad, loss
+
+    def train(self, drawn: list[list[tuple[int, int]]], window, labels: np.ndarray, weights: np.ndarray) -> Network:
+        """One step a batch of drawn (row, start); window(row, start) gives the bytes."""
+        p = self.p
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-        by_class = [np.flatnonzero(labels == c) for c in (0, 1)]
-        for step in range(1, steps + 1):
-            rate = RATE * (1 - (step - 1) / steps)
-            chosen = np.concatenate([rng.choice(rows, BATCH // 2) for rows in by_class])
-            features, routes = [], []
-            for i in chosen:
-                start = int(rng.integers(0, max(1, len(texts[i]) - TRAIN_BYTES + 1)))
-                data = self.padded(np.frombuffer(texts[i][start : start + TRAIN_BYTES], np.uint8))
-                r = self.responses(data).reshape(-1, HALF, FILTERS)
-                at = r.argmax(1)
-                h = np.take_along_axis(r, at[:, None, :], 1)[:, 0, :]
-                at = at + np.arange(len(h))[:, None] * HALF
-                if len(h) > 1:
-                    later = h[1:] > h[:-1]
-                    h, at = np.where(later, h[1:], h[:-1]), np.where(later, at[1:], at[:-1])
-                h = np.maximum(h + p["bias"], 0)
-                features.append(np.concatenate([h.mean(0), h.max(0)]))
-                routes.append((data, at, h > 0, h.argmax(0)))
-            x = np.stack(features)
-            hidden, score = self.output(x)
-            w = weights[chosen]
-            error = ((score - labels[chosen]) * w / w.sum()).astype(np.float32)
-            inner = error[:, None] * p["w2"] * (1 - hidden**2)
-            grad = {"w2": hidden.T @ error, "b2": np.array([error.sum()], np.float32), "w1": x.T @ inner, "b1": inner.sum(0), "table": np.zeros_like(p["table"]), "bias": np.zeros_like(p["bias"])}
-            back = inner @ p["w1"].T
-            for (data, at, live, top), g in zip(routes, back, strict=True):
-                d = np.repeat(g[None, :FILTERS] / len(at), len(at), 0)
-                d[top, np.arange(FILTERS)] += g[FILTERS:]
-                d = d * live
-                grad["bias"] += d.sum(0)
-                f = np.broadcast_to(np.arange(FILTERS), at.shape)
-                for j in range(WIDTH):
-                    np.add.at(grad["table"][j], (data[at + j], f), d)
+        for step, batch in enumerate(drawn, 1):
+            rate = RATE * (1 - (step - 1) / len(drawn))
+            rows = [i for i, _ in batch]
+            grad, _ = self.gradient([window(i, start) for i, start in batch], labels[rows], weights[rows])
             for k, g in grad.items():
                 m, v = moment[k]
                 g = g + 1e-4 * p[k]
@@ -122,6 +127,15 @@ class Network:
         return self
 
 
+def draws(sizes: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> list[list[tuple[int, int]]]:
+    """For each step (row, start) of its windows, half of either class; every position of a text may be drawn."""
+    rng, by_class, out = np.random.default_rng(seed), [np.flatnonzero(labels == c) for c in (0, 1)], []
+    for _ in range(steps):
+        chosen = np.concatenate([rng.choice(rows, BATCH // 2) for rows in by_class])
+        out.append([(int(i), int(rng.integers(0, max(1, sizes[i] - TRAIN_BYTES + 1)))) for i in chosen])
+    return out
+
+
 class Constant:
     """Where the labels don't hold two classes: their share of 1, or a half without any."""
 
@@ -137,15 +151,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def pieces(text: Column, count: int = PIECES, width: int = TRAIN_BYTES) -> Column:
-    """The text, or where it is longer than that count pieces of width code points, the first at its start, the last at its end."""
-    last = F.length(text) - width
-    parts = [F.substring(text, (F.floor(last * i / (count - 1)) + 1).cast("int"), F.lit(width)) for i in range(count)]
-    return F.when(F.length(text) > count * width, F.concat(*parts)).otherwise(text)
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: int = STEPS):
-    """A model from at most per_class labelled rows a class that aren't held out (docs: doc_id, text; labels: doc_id, quality)."""
+    """A model from at most per_class labelled rows a class that aren't held out (docs: doc_id, text; labels: doc_id, quality).
+
+    Null ids and texts, labels other than 0 and 1 teach nothing; of labels that repeat an id the larger counts. Without two
+    classes, and for empty tables, the model is a constant.
+    """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if len(counts) < 2:
@@ -154,14 +165,23 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, steps: i
     for c in (0, 1):
         some = known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, quality int")  # at most 2 per_class rows
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), pieces(F.col("text")).alias("text")).orderBy("doc_id", "h").limit(4 * per_class).toArrow()
-    texts = [t.encode() for t in rows.column("text").to_pylist()]
-    y = rows.column("quality").to_numpy().astype(np.float32)
+    spark = docs.sparkSession
+    ids = spark.createDataFrame([tuple(r) for r in picked.collect()], "doc_id long, quality int")  # at most 2 per_class rows
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("text is not null")
+    # of rows that repeat an id one text, the one with the least hash, counts
+    each = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct(F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))).alias("x"))
+    known = sorted((r["doc_id"], r["x"]["h"], r["x"]["size"], r["quality"]) for r in each.collect())
+    y = np.array([r[3] for r in known], np.float32)
     if len(set(y.tolist())) < 2:
         return Constant(float(y[0]) if len(y) else 0.5)
+    drawn = draws(np.array([r[2] for r in known]), y, steps)
+    wanted = sorted({x for batch in drawn for x in batch})
+    wanted = spark.createDataFrame([(*known[i][:2], i, start) for i, start in wanted], "doc_id long, h long, i int, start int")  # at most steps x BATCH rows
+    cut = F.expr(f"substring(cast(text as binary), start + 1, {TRAIN_BYTES})")
+    met = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "h"])
+    made = {(r["i"], r["start"]): bytes(r["w"]) for r in met.groupBy("i", "start").agg(F.first(cut).alias("w")).collect()}
     share = counts[1] / (counts[0] + counts[1])  # batches are half and half: weights restore the natural shares
-    return Network().train(texts, y, np.where(y == 1, share, 1 - share).astype(np.float32), steps)
+    return Network().train(drawn, lambda i, start: made[i, start], y, np.where(y == 1, share, 1 - share).astype(np.float32))
 
 
 def score(docs: DataFrame, model) -> DataFrame:
@@ -179,7 +199,10 @@ def score(docs: DataFrame, model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
+    """The rows of docs whose score reaches the threshold, with all their columns, whatever their names.
+
+    Null text counts as empty; repeated rows share a score; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
