@@ -4,7 +4,8 @@ Base patterns find the protected entities. What else gives an entity away is est
 c(e) mentions of entity e, c(t) occurrences of term t and c(e, t) mentions of e with t within NEAR words, t discloses
 the share PMI(e; t) / IC(e) = log(c(e, t) W / (c(e) c(t))) / log(W / c(e)) of what there is to know about e. Terms that
 reach a threshold, and stand near entities more often than chance would have it, are personal data too, wherever they
-stand: from GENERALISE on they are generalised to a placeholder, from REMOVE on removed.
+stand: from GENERALISE on they are generalised to what kind of word they are (number, code, name, word), from REMOVE on
+removed. Terms are whole words of letters and digits.
 
 Evidence is by term, over all entities, so that an entity mentioned once has its terms too. Of the c(t) occurrences of a
 term, k distinct documents have it near some entity; a word is near one by chance with the share p of words that are. The
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from heapq import nsmallest
@@ -34,12 +36,10 @@ from pyspark.sql import functions as F
 from .common import materialise, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
-PLACEHOLDER = tuple(f"<{k.upper()}>" for k in KINDS)
+PLACEHOLDER = tuple(f"<{k.upper()}>" for k in KINDS[:4])
 NEAR, FALSE, GENERALISE, REMOVE, SLICE = 5, 0.05, 0.95, 0.995, 200_000
 #: Words of a passage that tells documents apart; steps of the log chance in a power of e, and the most of them.
 PASSAGE, STEPS, MOST_STEPS = 5, 10, 2000
-#: Words on either side are looked for within so many characters.
-REACH = 400
 
 # The same matches as the plain patterns, without their quadratic scans: a run of digits is entered at its start only,
 # and an address is found from its @.
@@ -48,7 +48,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{2,}")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -86,18 +86,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _merged(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the spans cover, as disjoint stretches in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _words(text: str, base: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """The words of the text that no base span touches."""
+    held, i = _merged(base), 0
+    for m in TERM.finditer(text):
+        while i < len(held) and held[i][1] <= m.start():
+            i += 1
+        if i == len(held) or held[i][0] >= m.end():
+            yield m
+
+
 def term_spans(text: str, terms, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     if not terms or terms.isdisjoint(x.lower() for x in TERM.findall(text)):
         return []
-    held = sorted((a, b) for _, a, b in base)
-    out, i = [], 0
-    for m in TERM.finditer(text):
-        if m[0].lower() in terms:
-            while i < len(held) and held[i][1] <= m.start():
-                i += 1
-            if not any(a < m.end() and m.start() < b for a, b in held[i : i + 4]):
-                out.append((4, *m.span()))
-    return out
+    return [(4, *m.span()) for m in _words(text, base) if m[0].lower() in terms]
+
+
+def general(word: str) -> str:
+    """What a disclosing term is generalised to."""
+    if word.isdigit():
+        return "<NUMBER>"
+    return "<CODE>" if any(c.isdigit() for c in word) else "<NAME>" if word[0].isupper() else "<WORD>"
 
 
 def _hash(x: str) -> int:
@@ -119,14 +139,14 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py() or ""
             base = base_spans(text)
             document = _document(text) if base else 0
+            words = list(_words(text, base)) if base else []
+            starts, stops = [m.start() for m in words], [m.end() for m in words]
             for kind, a, b in base:
                 entity = _hash(f"{kind}:{text[a:b].lower()}")
-                # a word cut by the edge of the reach is left out
-                left = [m for m in TERM.finditer(text, max(0, a - REACH), a) if m.start() > a - REACH or a <= REACH][-NEAR:]
-                right = [m for m in TERM.finditer(text, b, min(len(text), b + REACH)) if m.end() < b + REACH][:NEAR]
-                near = [m[0].lower() for m in (*left, *right) if not any(x < m.end() and m.start() < y for _, x, y in base)]
+                left, right = bisect_right(stops, a), bisect_left(starts, b)  # words before and from there on, however far
+                near = {m[0].lower() for m in (*words[max(0, left - NEAR) : left], *words[right : right + NEAR])}
                 rows.append((entity, None, document))
-                rows += [(entity, t, document) for t in set(near)]
+                rows += [(entity, t, document) for t in near]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "document"])
 
@@ -170,7 +190,10 @@ def _evident(counted: DataFrame, tested: int, p: float, false: float) -> DataFra
 
 
 def disclosing_terms(docs: DataFrame, false: float = FALSE, threshold: float = GENERALISE, size: int = SLICE) -> DataFrame:
-    """term, share: terms that disclose at least the threshold of some entity (docs: text; more columns are ignored)."""
+    """term, share: terms that disclose at least the threshold of some entity (docs: text; more columns are ignored).
+
+    Null and empty texts have no words. An empty table, and one without entities, gives an empty result.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("text").where("text is not null")
@@ -262,13 +285,16 @@ def clean(text: str, flat: list[int]) -> str:
     out, done = [], 0
     for a, b, kind, gone in sorted((a, b, k, g) for k, a, b, g in _ordered(flat)):
         if a >= done:
-            out += [text[done:a], "" if gone else PLACEHOLDER[kind]]
+            out += [text[done:a], "" if gone else PLACEHOLDER[kind] if kind < 4 else general(text[a:b])]
         done = max(done, b)
     return "".join([*out, text[done:]])
 
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """docs with what find() finds generalised or removed from text; n_chars, if there, is the new length. Null text stays null."""
+    """docs with what find() finds generalised or removed from text; n_chars, if there, is the new length.
+
+    All rows and columns stay, repeated ones too, whatever their names; null text stays null. An empty table gives an empty result.
+    """
     at, columns = docs.columns.index("text"), docs.columns
 
     def finish(batch: pa.RecordBatch, found: list[list[int]]) -> pa.RecordBatch:
