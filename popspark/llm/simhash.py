@@ -145,7 +145,8 @@ def compare(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
         heads = spark.createDataFrame([(firsts[i - 1][0], firsts[i][1]) for i in range(len(firsts))], "run int, first long")
         head_rows = rows.drop("run").join(F.broadcast(heads), rows["doc_id"].eqNullSafe(heads["first"])).select("run", F.lit(1).alias("is_head"), "doc_id", "text")
         own = own.unionByName(head_rows)
-    dealt = own.repartition(max(1, len(firsts)), "run").sortWithinPartitions("run", "is_head", F.asc_nulls_last("doc_id"), "text")
+    # a partition a run: hashes of run numbers would collide
+    dealt = own.repartitionById(max(1, len(firsts)), "run").sortWithinPartitions("run", "is_head", F.asc_nulls_last("doc_id"), "text")
     return dealt.mapInArrow(_compare, OUTPUT)
 
 
@@ -189,7 +190,8 @@ def with_near(prints: DataFrame, every: int = ASKED_EVERY, radius: int = RADIUS)
     """prints (doc_id, fingerprint, more columns) with n_near: how many other rows lie within the radius.
 
     Asked for are the rows whose doc_id is divisible by every; n_near of the rest, and of null ids, is null. Rows that
-    share a fingerprint are within any radius of each other. prints is read several times: give a written table.
+    share a fingerprint are within any radius of each other. A column n_near of prints is replaced, others stay whatever
+    their names. An empty table gives an empty result. prints is read several times: give a written table.
     """
     is_asked = F.col("doc_id") % every == 0
     asked = prints.where(is_asked).select("fingerprint")
@@ -198,8 +200,9 @@ def with_near(prints: DataFrame, every: int = ASKED_EVERY, radius: int = RADIUS)
     others = others.join(copies.withColumnRenamed("fingerprint", "near"), "near").groupBy("fingerprint").agg(F.sum("n").alias("others"))
     counts = copies.join(asked.distinct(), "fingerprint", "left_semi").join(others, "fingerprint", "left")
     hint = F.broadcast if asked.count() <= BROADCAST_ROWS else lambda x: x
-    counts = hint(counts.select("fingerprint", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_near")))
-    return prints.join(counts, "fingerprint", "left").select(*prints.columns, F.when(is_asked, F.col("_near")).alias("n_near"))
+    counts = hint(counts.select(F.col("fingerprint").alias("_print"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("_near")))
+    joined = prints.join(counts, prints["fingerprint"] == counts["_print"], "left")
+    return joined.select(*[prints[c] for c in prints.columns if c != "n_near"], F.when(prints["doc_id"] % every == 0, counts["_near"]).alias("n_near"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
