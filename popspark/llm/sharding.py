@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import materialise, table, text_or_empty
 
 #: Rows that share one window when slots are dealt.
 SLOT_GROUP = 4096
@@ -87,25 +87,21 @@ def shard(docs: DataFrame, tree: Tree, seed: str = "tree") -> DataFrame:
     their own. Equal texts under different ids are independent (law `key`: id and tree decide). An empty table gives an
     empty result. Slots run from 0 without gaps in each shard, by (hash bucket, doc_id, CRC, size).
     """
-    key = F.col("doc_id")
-    groups = max(1, -(-docs.count() // (SLOT_GROUP * len(tree.shards()))))
-    ids = docs.select("doc_id", "text")
-    bucket = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
-    placed = ids.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 8).alias("size"),
-        F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        place(key, tree, seed).alias("shard"),
-        place(key, tree.grown(), seed).alias("grown_shard"),
-        bucket.alias("bucket"),
+    key, crc = F.col("doc_id"), F.crc32(text_or_empty().cast("binary"))
+    size = F.coalesce(F.octet_length("text").cast("long"), F.lit(0)) + 8
+    placed = docs.select(
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), place(key, tree, seed).alias("shard"), place(key, tree.grown(), seed).alias("grown_shard")
     )
-    counts = ids.select(place(key, tree, seed).alias("shard"), bucket.alias("bucket")).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    placed = materialise(placed, "placed")  # one scan of the texts
+    groups = max(1, -(-placed.count() // (SLOT_GROUP * len(tree.shards()))))
+    # by text too: rows that repeat an id, or have none, don't meet in one bucket
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(groups)).cast("int"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
     ranked = placed.withColumn("rank", F.row_number().over(inside))
-    return ranked.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard")
+    return ranked.join(starts, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("rank") - 1).alias("slot"), "grown_shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
