@@ -27,8 +27,8 @@ from .simhash import hashed_words, mix
 SIDE, HALF_WIDTH = 9, 3
 #: Up to so many ids (8 and 16 bytes each) are broadcast to where the texts are; beyond, texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Shingles hashed at once.
-BLOCK = 4096
+#: Shingles hashed at once; rows of a hub that are joined in one place; places of a component's vertices.
+BLOCK, HUB_ROWS, SPREAD = 4096, 256, 32
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _MASKS = mix(np.arange(1, 2 * SIDE * HALF_WIDTH + 1, dtype=np.uint64) * _K[0])
 
@@ -95,6 +95,24 @@ def _sets(width: int):
     return run
 
 
+def busy(rows: DataFrame, hub: str) -> tuple[DataFrame, int]:
+    """The hubs of more than HUB_ROWS rows and over how many places to deal them; how many such hubs there are."""
+    often = materialise(rows.groupBy(hub).agg(F.count("*").alias("c")).where(F.col("c") > HUB_ROWS).select(hub, F.ceil(F.col("c") / HUB_ROWS).cast("int").alias("salts")), "hubs")
+    return often, often.count()
+
+
+def by_hub(rows: DataFrame, one: DataFrame, hub: str, other: str, known: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """rows joined with one, which has a row a hub: rows of a busy hub are dealt over several places by hash of the other column."""
+    often, n = busy(rows, hub) if known is None else known
+    if not n:
+        return rows.join(one, hub)
+    hint = F.broadcast if n <= BROADCAST_ROWS else lambda x: x
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(other), F.col("salts"))).otherwise(0).cast("int")
+    rows = rows.join(hint(often), hub, "left").withColumn("salt", salt).drop("salts")
+    one = one.join(hint(often), hub, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return rows.join(one, [hub, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """v, label: the least label of each vertex's component. edges: a, b; labels: v, label, a row a vertex.
 
@@ -104,13 +122,16 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     if both.isEmpty():
         return labels
-    now = materialise(labels.withColumn("own", F.col("label")), "labels")
+    now, crowded = materialise(labels.withColumn("own", F.col("label")), "labels"), busy(both, "b")
     while True:
-        least = both.join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        least = by_hub(both, now.select(F.col("v").alias("b"), "label"), "b", "a", crowded).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         step = now.join(least, "v", "left").select("v", "own", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         # the vertex a label is named after may know a smaller one
         jump = step.where("label < own").groupBy(F.col("own").alias("name")).agg(F.min("label").alias("next"))
-        step = step.join(jump, step["label"] == jump["name"], "left").select("v", "own", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
+        # a large component's vertices all have one label: they are dealt over SPREAD places
+        jump = jump.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        step = step.withColumn("place", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+        step = step.join(jump, (step["label"] == jump["name"]) & (step["place"] == jump["place"]), "left").select("v", "own", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
         after = materialise(step, "labels")
         if after.where("label <> was").isEmpty():
             return after.select("v", "label")
@@ -157,9 +178,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = materialise(members.groupBy("v").agg(F.first("members").alias("members")), "sets")
 
     def with_sets(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        for v, name in ((x, "sx"), (y, "sy")):
-            pairs = pairs.join(members.select(F.col("v").alias(v), F.col("members").alias(name)), v)
-        return pairs
+        crowded = busy(pairs, y)
+        pairs = by_hub(pairs, members.select(F.col("v").alias(x), F.col("members").alias("sx")), x, y)
+        return by_hub(pairs, members.select(F.col("v").alias(y), F.col("members").alias("sy")), y, x, crowded)
 
     def compared(pairs: DataFrame, x: str, y: str) -> DataFrame:
         """The pairs with their full sets' sizes nx, ny, the size c of what they share, and whether that links them."""
@@ -174,9 +195,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # of the hub at most; to be linked they must share `need` in all, so either y is small enough for need <= c(x, hub),
     # or they share shingles that the hub lacks, as many as are missing. With these in one order, the rare first, the
     # first one shared must leave either with enough to come.
-    near = star.select("hub", "v", F.col("nx").alias("n"), "c").join(label, "v").join(label.select(F.col("v").alias("hub"), F.col("label").alias("home")), "hub")
+    near = star.select("hub", "v", F.col("nx").alias("n"), "c").join(label, "v")
+    near = materialise(by_hub(near, label.select(F.col("v").alias("hub"), F.col("label").alias("home")), "hub", "v"), "homes")
     mixed = near.where("label <> home").select("hub").distinct()
-    near = materialise(near.join(mixed, "hub"), "near")
+    near = materialise(by_hub(near, mixed, "hub", "v"), "near")
     outside, inside = near.where("label <> home"), near
     share = percent / (100 + percent)
     need = F.ceil(share * (F.col("n_x") + F.col("n_y")) - 1e-9) - F.least("c_x", "c_y")
@@ -187,7 +209,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = materialise(with_sets(near, "v", "hub").select("hub", "v", "n", "c", "label", "home", F.explode(F.array_except("sx", "sy")).alias("shingle")), "own")
     often = own.groupBy("hub", "shingle").agg(F.count("*").alias("often"))
     to_come = F.col("n") - F.col("c") - F.row_number().over(Window.partitionBy("hub", "v").orderBy("often", "shingle")) + 1
-    own = materialise(own.join(often, ["hub", "shingle"]).withColumn("left", to_come).where("often > 1").drop("often"), "own")
+    # the first one shared leaves at least what the smallest partner would still need
+    least = F.ceil(F.col("n") * percent / 100.0 - 1e-9) - F.col("c")
+    own = materialise(own.join(often, ["hub", "shingle"]).withColumn("left", to_come).where((F.col("often") > 1) & (F.col("left") >= least)).drop("often"), "own")
     beside = of(own.where("label <> home"), "x").join(of(own, "y"), ["hub", "shingle"])
     beside = beside.where((F.col("label_x") != F.col("label_y")) & (need <= F.least("left_x", "left_y")))
     order = [F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")]
@@ -203,17 +227,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id; all columns are kept. Rows that repeat a kept doc_id stay once a text."""
-    marked = materialise(near_duplicates(docs, width, percent).where("doc_id is not null").select(F.col("doc_id").alias("_id"), "kept"), "kept")
-    ids = marked.groupBy("_id").agg(F.max("kept").alias("kept"), F.sum(F.col("kept").cast("int")).alias("n"))
-    gone = materialise(ids.where("not kept or n > 1"), "gone")
+    """One row of each component, the one with the smallest doc_id; all columns are kept, whatever their names.
+
+    Rows that repeat a kept doc_id stay once a text. Null ids stay, all of them. Null and empty texts are linked with
+    nothing and stay. An empty table gives an empty result.
+    """
+    marked = materialise(near_duplicates(docs.select("doc_id", "text"), width, percent).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    ids = marked.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = materialise(ids.where("not kept or n > 1").select(F.col("doc_id").alias("id"), "kept"), "gone")
     hint = F.broadcast if gone.count() <= BROADCAST_ROWS else lambda x: x
-    once = docs.join(hint(gone.where("not kept")), docs["doc_id"] == F.col("_id"), "left_anti")
-    twice = gone.where("kept").select("_id")
+    columns, names = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # names of our own: any may clash
+    doc_id, text = names[columns.index("doc_id")], names[columns.index("text")]
+    rows, back = docs.toDF(*names), [F.col(x).alias(c) for x, c in zip(names, columns, strict=True)]
+    once = rows.join(hint(gone.where("not kept")), F.col(doc_id).cast("long") == F.col("id"), "left_anti")
+    twice = gone.where("kept").select("id")
     if twice.isEmpty():
-        return once
-    repeated = once.join(twice, once["doc_id"] == twice["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.join(twice, once["doc_id"] == twice["_id"], "left_anti").unionByName(repeated)
+        return once.select(*back)
+    repeated = once.join(twice, F.col(doc_id).cast("long") == F.col("id"), "left_semi").dropDuplicates([doc_id, text])
+    return once.join(twice, F.col(doc_id).cast("long") == F.col("id"), "left_anti").unionByName(repeated).select(*back)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
