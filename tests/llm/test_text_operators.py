@@ -156,14 +156,43 @@ def test_quality_network_blocks_agree():
         assert np.allclose(net.features(text), np.concatenate([chunks.mean(0), chunks.max(0)]), atol=1e-5)
 
 
-def test_quality_pieces_bound_what_is_learned_from(spark):
-    texts = ["", "abc", "x" * 24, "".join(chr(200 + i) for i in range(25)), "".join(chr(200 + i) for i in range(1000))]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "i int, t string")
-    got = {r["i"]: r["p"] for r in df.select("i", quality.pieces(F.col("t"), 4, 6).alias("p")).collect()}
-    assert got.pop(9) is None
-    for i, t in enumerate(texts):
-        last = len(t) - 6
-        assert got[i] == (t if len(t) <= 24 else "".join(t[last * k // 3 :][:6] for k in range(4)))
+def test_quality_gradient_against_differences():
+    net, rng = quality.Network(), np.random.default_rng(2)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    windows = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (0, 5, 128, 300, 1500)]
+    labels, weights = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 2, 1])
+    grad, _ = net.gradient(windows, labels, weights)
+    for name, value in net.p.items():
+        live = np.flatnonzero(grad[name])
+        for i in rng.choice(live, min(12, len(live)), replace=False):
+            at, h, losses = np.unravel_index(i, value.shape), 1e-6, []
+            for sign in (1, -1):
+                value[at] += sign * h
+                losses.append(net.gradient(windows, labels, weights)[1])
+                value[at] -= sign * h
+            assert (losses[0] - losses[1]) / (2 * h) == pytest.approx(grad[name][at], rel=1e-3, abs=1e-8), name
+
+
+def test_quality_learns_from_all_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(4)
+    filler = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    # what marks a text stands from position 100,000 on only
+    rows = [(i, filler(100_000) + ("ZQ" if i % 2 else "jk") * 60_000) for i in range(12)]
+    monkeypatch.setattr(quality, "held_out", lambda c: F.lit(False))
+    seen = []
+    train = quality.Network.train
+
+    def spy(self, drawn, window, labels, weights):
+        seen.extend((i, start, window(i, start)) for batch in drawn for i, start in batch)
+        return train(self, drawn, window, labels, weights)
+
+    monkeypatch.setattr(quality.Network, "train", spy)
+    docs = spark.createDataFrame(rows + rows[:1] + [(0, None)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"), steps=30)
+    assert all(w == rows[i][1].encode()[start : start + quality.TRAIN_BYTES] for i, start, w in seen)
+    assert min(x[1] for x in seen) < 20_000 and max(x[1] for x in seen) > 190_000
+    scores = model.score([t.encode() for _, t in rows])
+    assert min(scores[1::2]) > max(scores[0::2])
 
 
 def test_quality_without_labels_is_constant(spark, docs):
@@ -187,6 +216,66 @@ def test_flow_meets_overlapping_quotas_at_least_cost():
     assert sum(sum(g.values()) for g in mixing.flow([(frozenset([0]), 5)], [100])) == 15  # three copies at most
 
 
+def test_blend_of_overlapping_sources_against_brute_force(spark):
+    rows = [(1, "a b", ["x"]), (2, "c", ["x", "y"]), (3, "d e", ["y", "x", "y"]), (4, "f", ["y"]), (5, "g g g", None), (6, None, ["x"]), (7, "h", ["z", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    taken, plan = mixing.blend(docs, F.col("sources"), weight=lambda rank: (1.0, 4.0, 1.0, 1.0)[rank])
+    plan, taken = plan.collect(), taken.collect()
+    given = {tuple(r["sources"]): r["words"] for r in plan}
+    assert given == {("x",): 2, ("x", "y"): 3, ("y",): 1, ("z", None): 1}
+    patterns = list(given)
+    wanted = {r["source"]: round(r["target"]) for r in plan}
+
+    def cost(p, total):
+        return sum((k + 1) ** 2 * min(max(total - k * given[p], 0), given[p]) for k in range(3))
+
+    best = {}  # words routed so far by source -> least cost
+    best[()] = (0, 0)
+    states = {tuple((x, 0) for x in sorted(wanted, key=str)): 0}
+    for p in patterns:
+        after = {}
+        for state, paid in states.items():
+            have = dict(state)
+            for parts in np.ndindex(*[3 * given[p] + 1] * len(p)):
+                if sum(parts) <= 3 * given[p] and all(have[x] + n <= wanted[x] for x, n in zip(p, parts, strict=True)):
+                    now = tuple((x, have[x] + (parts[p.index(x)] if x in p else 0)) for x, _ in state)
+                    after[now] = min(after.get(now, 10**9), paid + cost(p, sum(parts)))
+        states = after
+    most = max(sum(n for _, n in s) for s in states)
+    least = min(paid for s, paid in states.items() if sum(n for _, n in s) == most)
+    routed = collections.Counter()
+    for r in plan:
+        routed[tuple(r["sources"])] += r["routed"]
+    assert sum(routed.values()) == most and sum(cost(p, n) for p, n in routed.items()) == least
+    by = collections.Counter()
+    for r in taken:
+        assert 0 <= r["copies"] <= 3 and (r["sources"] is not None or r["copies"] == 0)
+        by[r["sources"] and tuple(r["sources"])] += r["size"] * r["copies"]
+    assert len(taken) == len(rows) and all(abs(by[p] - n) <= 1 for p, n in routed.items())
+
+
+def test_mix_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" * rng.randrange(1, 3) for _ in range(rng.choice((0, 1, 2, 5, 9)))), rng.choice(["b", "a", None, "é", "Z"])) for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = collections.Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    names = ["Z", "a", "b", "é", None]
+    left, weights, targets = float(sum(sizes.values())), dict(zip(names, (1, 2, 3, 1, 2), strict=True)), {}
+    while len(targets) < 5:  # excess goes to the others
+        total = sum(weights[x] for x in names if x not in targets)
+        over = [x for x in names if x not in targets and left * weights[x] / total > 3 * sizes[x]]
+        targets |= {x: 3.0 * sizes[x] for x in over} if over else {x: left * weights[x] / total for x in names if x not in targets}
+        left = sum(sizes.values()) - sum(targets.values()) if over else left
+    words, taken = {i: len(t.split()) for i, t, _ in rows}, collections.Counter()
+    for r in got:
+        assert (r["size"], r["source_size"]) == (words[r["doc_id"]], sizes[r["source"]]) and r["target"] == pytest.approx(targets[r["source"]])
+        assert r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert len(got) == 400 and all(abs(taken[x] - targets[x]) <= 1 for x in names)
+
+
 def test_mix_comes_near_its_targets(docs):
     a = mixing.mix(docs).toPandas()
     assert len(a) == docs.count() and (a.taken <= 3 * a["size"]).all()
@@ -194,7 +283,7 @@ def test_mix_comes_near_its_targets(docs):
     assert (a["size"] == a.doc_id.map(words)).all()
     by = a.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), size=("source_size", "first"))
     assert by.target.sum() == pytest.approx(by["size"].sum())
-    assert ((by.taken - by.target).abs() <= 0.05 * by.target + 50).all()
+    assert ((by.taken - by.target).abs() <= 0.015 * by.target).all()  # ten documents a source: sums are coarse
     b = mixing.mix(docs.repartition(7)).toPandas()
     assert a.sort_values("doc_id").taken.tolist() == b.sort_values("doc_id").taken.tolist()
     assert mixing.repeat(docs).count() == a.copies.sum()
@@ -232,8 +321,37 @@ def test_pii_terms_that_disclose(spark):
     clean = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
     assert "orblax" not in clean[0]["text"] and "<EMAIL>" in clean[0]["text"] and clean[0]["n_chars"] == len(clean[0]["text"])
     assert "ZORBLAX" not in clean[500]["text"] and clean[150]["text"] == dict(rows)[150]
-    sliced = {tuple(r["_found"]) for r in pii.find(docs, spark.createDataFrame([("zorblax", 1.0), ("amet", 1.0)], "term string, share double"), size=1).collect()}
-    assert sliced == {tuple(r["_found"]) for r in pii.find(docs, spark.createDataFrame([("zorblax", 1.0), ("amet", 1.0)], "term string, share double")).collect()} or len(sliced) > 1
+    some_terms = spark.createDataFrame([("zorblax", 1.0), ("amet", 1.0)], "term string, share double")
+    whole, sliced = ({r["doc_id"]: sorted(zip(*[iter(r["_found"])] * 4)) for r in pii.find(docs, some_terms, size=n).collect()} for n in (100, 1))
+    assert whole == sliced and sum(map(len, whole.values())) > 300
+
+
+def test_pii_terms_outside_spans_against_brute_force():
+    rng = random.Random(12)
+    parts = ["ab", "jdoe42", "a@b.cd", "1.2.3.4", "+1 555 123 4567", "4111111111111111", " ", " ", "-", "x", "é1", "_"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        base = pii.base_spans(text)
+        words = [m for m in re.finditer(r"[^\W_]{2,}", text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert [m.span() for m in pii._words(text, base)] == [m.span() for m in words]
+        want = [(4, *m.span()) for m in words if m[0].lower() in {"jdoe42", "ab", "é1"}]
+        assert pii.term_spans(text, {"jdoe42", "ab", "é1"}, base) == want
+
+
+def test_pii_contexts_reach_as_far_as_words_do(spark):
+    far, gap = "far", " " * 100_000
+    texts = [f"one {far}{gap}. a@b.cd{gap}staff77 x y zz", "1.2.3.4 " * 3000 + "lone word"]
+    import pyarrow as pa
+
+    rows = [r for b in pii._contexts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])) for r in b.to_pylist()]
+    first = {r["term"] for r in rows if r["document"] == rows[0]["document"]}
+    assert first == {None, "one", "far", "staff77", "zz"}
+    assert sum(r["term"] is None for r in rows) == 3001
+
+
+def test_pii_generalises():
+    assert [pii.general(w) for w in ("123", "ab12", "Zed", "zed")] == ["<NUMBER>", "<CODE>", "<NAME>", "<WORD>"]
+    assert pii.clean("Zed mails a@b.cd from 77", [0, 10, 16, 0, 4, 0, 3, 0, 4, 22, 24, 1]) == "<NAME> mails <EMAIL> from "
 
 
 def test_pii_terms_of_rare_entities(spark):
@@ -561,6 +679,34 @@ def test_awkward_rows_are_all_there(awkward, labels):
     assert [s.split(":")[0] for s in spans.split(",")] == ["email", "ip", "card", "phone"]
 
 
+def test_stages_on_awkward_rows_and_clashing_names(awkward, labels, spark):
+    names = ["_id", "_copies", "_source", "_copy", "_found", "_near", "id", "h", "c0", "c1", "copies", "kept", "pattern", "salt", "sources", "n_near", "i", "start", "grp", "row", "words"]
+    have = awkward.columns
+    docs = awkward.select("*", *[F.lit(2).cast("long").alias(n) for n in names if n not in have])
+    assert collections.Counter(r["doc_id"] for r in quality.keep(docs, quality.Constant(0.9)).collect()) == collections.Counter(r["doc_id"] for r in docs.collect())
+    assert quality.keep(docs, quality.Constant(0.1)).count() == 0
+    once = minhash.deduplicate(docs)
+    assert once.columns == docs.columns
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in once.collect())
+    # id 5 stays for its own text, and with it, once, the copy that shares the id
+    assert {i for i, _ in kept} == {1, 2, 3, 4, 5, None, 6, 7, 8, 9, 10, 11} and all(n == 1 for n in kept.values())
+    clean = pii.sanitise(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert {r["text"] for r in clean.where("doc_id in (2, 3)").collect()} == {None, ""}
+    more = mixing.repeat(docs)
+    assert more.columns == docs.columns
+    blank = more.where("text is null or trim(text) = ''")
+    assert more.count() > 0 and blank.where("text is null").count() == 0
+    masked = secrets.redact(docs)
+    assert masked.columns == docs.columns and masked.count() == docs.count() and masked.where("text is null").count() == 2
+    prints = simhash.compare(docs.select("doc_id", "text"), run_rows=4).withColumn("_near", F.lit(1)).withColumn("n_near", F.lit(2)).withColumn("fingerprints", F.lit(3))
+    near = simhash.with_near(prints, every=1)
+    assert near.columns == [*[c for c in prints.columns if c != "n_near"], "n_near"] and near.count() == docs.count()
+    placed = sharding.shard(docs, sharding.Tree.balanced(3))
+    assert placed.count() == docs.count()
+    assert scoring.score(docs.drop("score"), scoring.fit(docs, rounds=1)).count() == docs.count()
+
+
 def test_empty_tables(none, labels, spark):
     for name, df in run_all(none, labels.limit(0)).items():
         assert df.count() == 0, name
