@@ -206,7 +206,8 @@ def repeat(docs: DataFrame, seed: int = 5) -> DataFrame:
     """docs with every row as often as the mix takes it, with all its columns, whatever their names.
 
     Rows that repeat id, source and text share the largest count of theirs. Null ids, sources and texts are values of
-    their own; null or blank texts have no words and go. An empty table gives an empty result.
+    their own; null and blank texts add no words and come as often as their place among
+    their source's documents has it. An empty table gives an empty result.
     """
     counts = mix(docs, seed=seed).groupBy("doc_id", "source", "h").agg(F.max("copies").cast("int").alias("copies")).where("copies > 0")
     given = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of our own: any may clash
