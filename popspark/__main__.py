@@ -83,6 +83,7 @@ def _eval(args) -> int:
         return 1
     from pyspark.sql import functions as F
 
+    from .lineage import cut
     from .plans import backtest, simulate
     from .publish import report
     from .sources.targets import QuestionBank
@@ -95,7 +96,7 @@ def _eval(args) -> int:
     spark = _session()
     taxonomy, targets, microdata = _population_inputs(spark, base)
     bank = QuestionBank.load(spark, args.bank)
-    rows = simulate.kept(backtest.run(spark, base.to_dict(), engines, bank.questions, lambda s: simulate.synthesize(spark, s, targets, microdata), taxonomy.attributes, args.only.split(",") if args.only else ()))
+    rows = cut(backtest.run(spark, base.to_dict(), engines, bank.questions, lambda s: simulate.synthesize(spark, s, targets, microdata), taxonomy.attributes, args.only.split(",") if args.only else ()), "grid")
     contrast = bank.questions.groupBy("question_id", "option").agg(F.max("option_ix").alias("contrast_ix"))
     experiments = bank.experiments.join(contrast, (F.col("arms")[0] == F.col("question_id")) & (F.col("contrast_option") == F.col("option"))).select("id", "arms", "contrast_ix")
     board = [r.asDict() for r in backtest.leaderboard(rows, experiments).collect()]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import answers, harmonize
 from .functions.rng import hash_u
 from .functions.taxonomy import crosswalk
+from .lineage import cut
 from .operators import bootstrap, cost, estimate, graph, propagate, raking, sampling, score, synthesis, weighted
-from .plans import backtest, simulate
+from .plans import backtest
 from .plans import tables as T
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +130,27 @@ def _(spark, d):
     return _rounded(s.where("n >= 10"), "share")
 
 
+_CUTS = ["NULL, NULL", "'length_band', length_band"]
+
+
+@_query("item_records", f"""
+WITH {T.PANEL_D}, rows_ AS (SELECT 'quality' AS item, ['bad', 'good'][quality + 1] AS option, quality AS option_ix, weight, length_band FROM sample WHERE quality IN (0, 1)),
+long AS ({" UNION ALL ".join(f"SELECT item, option_ix, weight, {c.split(',')[0]} AS dimension, {c.split(',')[1]} AS level FROM rows_" for c in _CUTS)}),
+t AS (SELECT item, dimension, level, sum(weight) AS total, sum(weight * weight) AS squares, count(*) AS n FROM long GROUP BY 1, 2, 3),
+kept AS (SELECT * FROM t WHERE n >= CASE WHEN dimension IS NULL THEN 20 ELSE 10 END AND item IN (SELECT item FROM t WHERE dimension IS NULL AND n >= 20)),
+o AS (SELECT * FROM (VALUES (0, 'bad'), (1, 'good')) v(option_ix, option)),
+s AS (
+  SELECT kept.*, o.option_ix, o.option, coalesce((SELECT sum(weight) FROM long l WHERE l.item = kept.item AND l.dimension IS NOT DISTINCT FROM kept.dimension
+    AND l.level IS NOT DISTINCT FROM kept.level AND l.option_ix = o.option_ix), 0) / total AS share, total * total / squares AS n_eff FROM kept, o
+)
+SELECT item, CAST(dimension AS VARCHAR) AS dimension, CAST(level AS VARCHAR) AS level, CAST(option_ix AS INTEGER) AS option_ix, option, round(share, {DP}) AS share, n, round(n_eff, {DP}) AS n_eff,
+  CASE WHEN dimension IS NULL THEN round(sqrt(greatest(share * (1 - share), 0) / n_eff), {DP}) END AS se FROM s
+""")
+def _(spark, d):
+    answered = T.sample_d(spark, d).withColumn("quality", F.when(F.col("answer") == 0, "bad").when(F.col("answer") == 1, "good"))
+    return _rounded(weighted.item_records(answered, {"quality": ["bad", "good"]}, ["length_band"], least=20, least_segment=10), "share", "n_eff", "se")
+
+
 @_query("chunked_marginals_events", f"SELECT event_type AS level, round(sum(value) / sum(sum(value)) OVER (), {DP}) AS share, count(*) AS records FROM events WHERE value IS NOT NULL GROUP BY 1")
 def _(spark, d):
     sums = T.read(spark, d, "events").where("value is not null").groupBy(F.col("event_type").alias("level")).agg(F.sum("value").alias("weight"), F.count("*").alias("records"))
@@ -194,17 +216,21 @@ def _(spark, d):
     return _rounded(weighted.cells(raked, ["region", "segment"]).drop("weight"), "share")
 
 
-@_query("rake_unreachable_levels")
+@_query("rake_unreachable_levels", f"""
+WITH {T.PANEL_C}, wanted AS (SELECT DISTINCT region FROM supplier JOIN nations ON s_nationkey = nation)
+SELECT 'region' AS attribute, region AS level, CAST(20 AS INTEGER) AS iterations FROM wanted
+WHERE region NOT IN (SELECT region FROM panel WHERE region <> 'ASIA' AND weight > 0)
+""")
 def _(spark, d):
     panel = T.panel_c(spark, d).where("region <> 'ASIA'")
     _raked, info = raking.rake(panel, _targets(spark, d), most=20)
     return spark.createDataFrame([(*x, info.iterations) for x in info.unreachable], "attribute string, level string, iterations int")
 
 
-@_query("marginal_fidelity", f"WITH {T.PANEL_C}, t AS (SELECT 'segment' AS attribute, * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {(i + 3) / 25}::DOUBLE)' for i, x in enumerate(T.SEGMENTS))}) v(level, share)), g AS (SELECT segment AS level, sum(weight) / sum(sum(weight)) OVER () AS got FROM panel GROUP BY 1), e AS (SELECT attribute, share, coalesce(got, 0) - share AS d FROM t LEFT JOIN g USING (level)) SELECT attribute, round(sum(abs(d)), {DP}) AS tae, round(max(abs(d)), {DP}) AS max_deviation, round(sqrt(avg(d * d)) / avg(share), {DP}) AS srmse FROM e GROUP BY 1")
+@_query("marginal_fidelity", f"WITH {T.PANEL_C}, t AS (SELECT 'segment' AS attribute, * FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)}, {(i + 3) / 25}::DOUBLE)' for i, x in enumerate(T.SEGMENTS))}) v(level, share)), g AS (SELECT segment AS level, sum(weight) / sum(sum(weight)) OVER () AS got FROM panel GROUP BY 1), e AS (SELECT attribute, share, level, coalesce(got, 0) - share AS d FROM t LEFT JOIN g USING (level)) SELECT attribute, round(sum(abs(d)), {DP}) AS tae, round(max(abs(d)), {DP}) AS max_deviation, round(sqrt(avg(d * d)) / avg(share), {DP}) AS srmse, arg_max(level, abs(d)) AS worst_level, round(arg_max(d, abs(d)), {DP}) AS worst_deviation FROM e GROUP BY 1")
 def _(spark, d):
     rows = [("segment", x, (i + 3) / 25) for i, x in enumerate(T.SEGMENTS)]
-    return _rounded(raking.fidelity(T.panel_c(spark, d), spark.createDataFrame(rows, "attribute string, level string, share double"), ["segment"]), "tae", "max_deviation", "srmse")
+    return _rounded(raking.fidelity(T.panel_c(spark, d), spark.createDataFrame(rows, "attribute string, level string, share double"), ["segment"]), "tae", "max_deviation", "srmse", "worst_deviation")
 
 
 @_query("joint_divergence_panels", f"WITH {T.PANEL_C}, a AS (SELECT region, segment, sum(weight) / sum(sum(weight)) OVER () AS s FROM panel WHERE agent_id % 2 = 0 GROUP BY 1, 2), b AS (SELECT region, segment, sum(weight) / sum(sum(weight)) OVER () AS s FROM panel WHERE agent_id % 2 = 1 GROUP BY 1, 2) SELECT round(0.5 * sum(abs(coalesce(a.s, 0) - coalesce(b.s, 0))), {DP}) AS divergence FROM a FULL JOIN b USING (region, segment)")
@@ -283,7 +309,18 @@ def _(spark, d):
     return fitted.predict(T.panel_d(spark, d)).select("agent_id", F.round(F.col("p")[1], 6).alias("p"))
 
 
-@_query("trait_noise")
+#: The loadings that numpy draws for seed 6, one trait and two options, as literals.
+_LOADINGS = (1.0531157544867582, 1.776491303816993)
+
+
+@_query("trait_noise", f"""
+WITH {T.PANEL_D}, m AS (SELECT sum(weight * p0) / sum(weight) AS p0, sum(weight * p1) / sum(weight) AS p1 FROM sample),
+t AS (SELECT agent_id, {T.U("'5'", "'x'", 'agent_id::VARCHAR')} AS x FROM panel),
+z AS (
+  SELECT agent_id, {", ".join(f"ln(greatest(p{i}, 1e-12)) + 0.05 * (x - avg(x) OVER ()) * {v}::DOUBLE AS z{i}" for i, v in enumerate(_LOADINGS))} FROM t, m
+)
+SELECT agent_id, round(exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))), 6) AS p FROM z
+""")
 def _(spark, d):
     agents = propagate.by_mean(T.panel_d(spark, d), T.sample_d(spark, d), 2).withColumn("trait_x", propagate.trait("x", 4))
     return propagate.trait_noise(agents, ["trait_x"], 0.05, 6, 2).select("agent_id", F.round(F.col("p")[1], 6).alias("p"))
@@ -357,24 +394,53 @@ def _(spark, d):
 
 # -- graph
 
+_GRAPH = f"""{T.PANEL_C}, b AS (SELECT agent_id AS id, region, p0, p1, p2, p3, p4, floor({T.U("'13'", "'bucket'", 'agent_id::VARCHAR')} * 256) AS bucket FROM panel),
+numbered AS (
+  SELECT id, region, row_number() OVER (PARTITION BY region ORDER BY bucket, id) - 1 AS in_cell, row_number() OVER (ORDER BY region, bucket, id) - 1 AS number,
+    count(*) OVER (PARTITION BY region) AS cell_size, count(*) OVER () AS size FROM b
+),
+asked AS (
+  SELECT id, region, cell_size, size, {T.U("'13'", "'own'", 'id::VARCHAR', 'k::VARCHAR')} < 0.7 AS own, {T.U("'13'", "'pick'", 'id::VARCHAR', 'k::VARCHAR')} AS pick
+  FROM numbered, (SELECT unnest(range(1, 5)) AS k)
+),
+ends AS (
+  SELECT a.id, n.id AS other FROM asked a JOIN numbered n ON own AND a.region = n.region AND n.in_cell = least(floor(pick * a.cell_size), a.cell_size - 1)
+  UNION ALL SELECT a.id, n.id FROM asked a JOIN numbered n ON NOT own AND n.number = least(floor(pick * a.size), a.size - 1)
+),
+once AS (SELECT DISTINCT least(id, other) AS src, greatest(id, other) AS dst FROM ends WHERE id <> other),
+edges AS (SELECT src, dst FROM once UNION ALL SELECT dst, src FROM once)"""
+_P = [f"p{i}" for i in range(T.K)]
+_ROUNDS = "r0 AS (SELECT id, " + ", ".join(_P) + " FROM b), " + ", ".join(
+    f"""h{i} AS (
+  SELECT src, {", ".join(f"avg(o.{p}) AS m{p}" for p in _P)} FROM edges JOIN r{i} s ON s.id = src JOIN r{i} o ON o.id = dst
+  WHERE ({" + ".join(f"abs(s.{p} - o.{p})" for p in _P)}) / 2 <= 0.25 GROUP BY 1
+),
+r{i + 1} AS (SELECT id, {", ".join(f"CASE WHEN src IS NULL THEN {p} ELSE {p} + 0.2 * (m{p} - {p}) END AS {p}" for p in _P)} FROM r{i} LEFT JOIN h{i} ON src = id)"""
+    for i in range(3)
+)
+
+
 def _edges(spark, d):
     return graph.build(T.panel_c(spark, d), ["region"], 8, 0.7, 13)
 
 
-@_query("graph_degrees")
+@_query("graph_degrees", f"WITH {_GRAPH} SELECT src, count(*) AS degree FROM edges GROUP BY 1")
 def _(spark, d):
     return graph.degrees(_edges(spark, d))
 
 
-@_query("graph_homophily")
+@_query("graph_homophily", f"WITH {_GRAPH} SELECT round(avg(CASE WHEN s.region = o.region THEN 1.0 ELSE 0.0 END), {DP}) AS homophily FROM edges JOIN b s ON s.id = src JOIN b o ON o.id = dst")
 def _(spark, d):
-    return graph.homophily(_edges(spark, d), T.panel_c(spark, d).withColumn("label", F.col("region")))
+    return _rounded(graph.homophily(_edges(spark, d), T.panel_c(spark, d).withColumn("label", F.col("region"))), "homophily")
 
 
-@_query("influence_rounds")
+@_query("influence_rounds", f"""
+WITH {_GRAPH}, {_ROUNDS}, s AS (SELECT *, {" + ".join(_P)} AS total FROM r3)
+{" UNION ALL ".join(f"SELECT id AS agent_id, CAST({i} AS INTEGER) AS option_ix, round({p} / total, 6) AS p FROM s" for i, p in enumerate(_P))}
+""")
 def _(spark, d):
     moved = graph.influence(T.panel_c(spark, d), _edges(spark, d), 3, 0.25, 0.2, T.K)
-    return moved.select("agent_id", F.transform("p", lambda x: F.round(x, 6)).alias("p"))
+    return moved.select("agent_id", F.posexplode("p").alias("option_ix", "p")).withColumn("p", F.round("p", 6))
 
 
 # -- scoring
@@ -458,10 +524,15 @@ def _(spark, d):
     return bank.join(held, "question_id", "left_anti").select("question_id")
 
 
-@_query("gate_results")
+@_query("gate_results", f"""
+WITH {_SCORES}, s AS (SELECT CAST(count(*) AS DOUBLE) AS questions, avg(mae) AS mae FROM scores)
+SELECT 'questions' AS metric, 'min' AS kind, 20.0::DOUBLE AS bound, questions AS value, questions >= 20 AS holds FROM s
+UNION ALL SELECT 'mae', 'max', 0.16::DOUBLE, round(mae, {DP}), mae <= 0.16 FROM s
+UNION ALL SELECT 'coverage', 'min', 0.7::DOUBLE, NULL, false
+""")
 def _(spark, d):
     found = score.question_scores(_rows(spark, d)).agg(F.count("*").alias("questions"), F.avg("mae").alias("mae")).collect()[0]
-    return score.gates(spark, found.asDict(), [("questions", "min", 20), ("mae", "max", 0.16), ("coverage", "min", 0.7)])
+    return _rounded(score.gates(spark, found.asDict(), [("questions", "min", 20), ("mae", "max", 0.16), ("coverage", "min", 0.7)]), "value")
 
 
 @_query("wording_extract_pages", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
@@ -532,7 +603,7 @@ def _grid(spark, d, engines) -> DataFrame:
         "predictor": {"stratify_by": ["region", "segment"], "archetypes": 200}, "estimator": {"dimensions": ["region", "segment"], "draws": 200},
     }
     panel = T.panel_c(spark, d).select("agent_id", "region", "segment", "balance_band", "weight")
-    return simulate.kept(backtest.run(spark, base, engines, bank, lambda s: panel, T.TAXONOMY.attributes))
+    return cut(backtest.run(spark, base, engines, bank, lambda s: panel, T.TAXONOMY.attributes), "grid")
 
 
 @_query("backtest_prior", f"WITH {T.BANK_Q}, m AS (SELECT b.question_id, b.option_ix, avg(o.topline) AS p FROM bank b JOIN bank o ON o.option_ix = b.option_ix AND o.group_id <> b.group_id GROUP BY 1, 2) SELECT CAST(question_id AS VARCHAR) AS question_id, option_ix, round(p / sum(p) OVER (PARTITION BY question_id), {DP}) AS p FROM m")

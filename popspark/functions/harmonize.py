@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ CENSUS_SCHOOLING = ((1, 15), (16, 17), (18, 20), (21, 21), (22, 24))
 SURVEY_RACE = {1: "white", 2: "black", 3: "other"}
 SURVEY_DEGREE = {0: "less_than_hs", 1: "high_school", 2: "some_college", 3: "bachelors", 4: "graduate"}
 SURVEY_OLDEST = 89
+CENSUS_COLUMNS = ("AGEP", "SEX", "SCHL", "RAC1P", "MAR", "PWGTP")
+SURVEY_COLUMNS = ("age", "sex", "degree", "race", "marital")
 
 TAXONOMY = Taxonomy(LEVELS)
 
@@ -31,6 +35,12 @@ def _number(name: str) -> Column:
     return F.col(name).try_cast("double")
 
 
+def _require(records: DataFrame, columns: Sequence[str]) -> None:
+    missing = [c for c in columns if c not in records.columns]
+    if missing:
+        raise ValueError(f"the records lack {', '.join(missing)}")
+
+
 def schooling(value: Column) -> Column:
     """Inclusive ranges of codes to levels of education; null for any other code."""
     return F.coalesce(*[F.when(value.between(low, high), F.lit(level)) for (low, high), level in zip(CENSUS_SCHOOLING, LEVELS["education"], strict=True)])
@@ -38,6 +48,7 @@ def schooling(value: Column) -> Column:
 
 def census(records: DataFrame) -> DataFrame:
     """Adults with every attribute and a positive weight (AGEP, SEX, SCHL, RAC1P, MAR, PWGTP)."""
+    _require(records, CENSUS_COLUMNS)
     rows = records.select(
         band(_number("AGEP"), AGES, LEVELS["age_band"]).alias("age_band"),
         crosswalk(_number("SEX"), SEX).alias("sex"),
@@ -51,6 +62,7 @@ def census(records: DataFrame) -> DataFrame:
 
 def survey(records: DataFrame, weight: str) -> DataFrame:
     """All records with a positive weight, items kept; attributes out of range are null (age, sex, degree, race, marital)."""
+    _require(records, (*SURVEY_COLUMNS, weight))
     age = _number("age")
     coded = {
         "age_band": band(F.when(age <= SURVEY_OLDEST, age), AGES, LEVELS["age_band"]),

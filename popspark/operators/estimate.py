@@ -27,10 +27,10 @@ def evidence(frame_cells: DataFrame, sample: DataFrame, dims: Sequence[str], k:
 
 
 def pooled(counts: DataFrame, k: int, concentration: float | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """counts (a row a cell, c0..) with n, alpha, mu0.., post0.., shrinkage.
+    """counts (a row a cell, c0..) with n, alpha, at_bound, mu0.., post0.., shrinkage.
 
     alpha by moments: sum mu (1 - mu) / between-cell variance - 1, within bounds; the upper one if fewer than two cells
-    are occupied or they don't differ.
+    are occupied or they don't differ. at_bound: a fitted alpha is the lowest or the highest there is.
     """
     all_ = Window.partitionBy(*by)  # a row a cell: few
     n = sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0"))
@@ -46,7 +46,7 @@ def pooled(counts: DataFrame, k: int, concentration: float | None = None, by: Se
         alpha = F.when((F.col("_occupied") < 2) | (F.col("_between") <= 0), F.lit(MOST)).otherwise(F.least(F.greatest(fitted, F.lit(LEAST)), F.lit(MOST)))
     else:
         alpha = F.lit(float(concentration))
-    out = out.withColumn("alpha", alpha)
+    out = out.withColumn("alpha", alpha).withColumn("at_bound", F.lit(concentration is None) & F.col("alpha").isin(LEAST, MOST))
     for i in range(k):
         out = out.withColumn(f"post{i}", (F.col("alpha") * F.col(f"mu{i}") + F.col(f"c{i}")) / (F.col("alpha") + F.col("n")))
     return out.withColumn("shrinkage", F.col("alpha") / (F.col("alpha") + F.col("n"))).drop("_between", "_within", "_occupied")
@@ -76,8 +76,8 @@ def segments(posterior: DataFrame, dims: Sequence[str], k: int) -> DataFrame:
 
 
 def draws(posterior: DataFrame, dims: Sequence[str], k: int, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """by, draw, option_ix, share: Dirichlet draws of every cell, summed by the cells' shares. Seeded by the cell's name, so that questions pair by draw."""
-    parameters = posterior.select(*by, F.concat_ws("|", *dims).alias("cell"), "share", F.array(*[F.greatest(F.col("alpha") * F.col(f"mu{i}") + F.col(f"c{i}"), F.lit(FLOOR)) for i in range(k)]).alias("a"))
+    """by, draw, option_ix, share: Dirichlet draws of every cell, summed by the cells' shares. Seeded by the cell's dims as JSON (null ones left out), so that questions pair by draw and no two cells share a name."""
+    parameters = posterior.select(*by, F.to_json(F.struct(*dims)).alias("cell"), "share", F.array(*[F.greatest(F.col("alpha") * F.col(f"mu{i}") + F.col(f"c{i}"), F.lit(FLOOR)) for i in range(k)]).alias("a"))
 
     def sample(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["cell"].iloc[0]

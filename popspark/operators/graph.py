@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import hash_u
+from ..lineage import cut
+
+#: Buckets that a cell's agents are numbered in.
+BUCKETS = 256
 
 
 def build(agents: DataFrame, dims: Sequence[str], mean_degree: int, homophily: float, seed: int, key: str = "agent_id") -> DataFrame:
@@ -18,8 +22,8 @@ def build(agents: DataFrame, dims: Sequence[str], mean_degree: int, homophily: f
     Numbering all agents is done by hash bucket and a running sum, not in one window.
     """
     tries = max(1, round(mean_degree / 2))
-    cell = F.concat_ws("|", *dims)
-    named = agents.select(F.col(key).alias("id"), cell.alias("cell")).withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(256)).cast("int"))
+    cell = F.to_json(F.struct(*dims))  # no two cells share a name
+    named = agents.select(F.col(key).alias("id"), cell.alias("cell")).withColumn("bucket", F.floor(hash_u(seed, "bucket", F.col("id")) * BUCKETS).cast("int"))
     groups = named.groupBy("cell", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("cell").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     overall = Window.orderBy("cell", "bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,18 +54,19 @@ def homophily(edges: DataFrame, labels: DataFrame, key: str = "agent_id", label:
 def influence(responses: DataFrame, edges: DataFrame, rounds: int, confidence: float, susceptibility: float, k: int, key: str = "agent_id") -> DataFrame:
     """key, p after the rounds: agents move towards the mean of those neighbours whose answers are near enough (total variation); nobody heard: unchanged.
 
-    Each round is checkpointed to the shared folder.
+    The edges, dealt by their end, and each round but the last are written to the shared folder: no round is planned twice.
     """
     now = responses.select(F.col(key).alias("id"), "p")
     if rounds < 1 or susceptibility <= 0:
         return now.withColumnRenamed("id", key)
+    edges = cut(edges.repartition("dst"), "edges")
     for i in range(rounds):
         pair = edges.join(now.select(F.col("id").alias("src"), F.col("p").alias("own")), "src").join(now.select(F.col("id").alias("dst"), F.col("p").alias("other")), "dst")
         far = F.aggregate(F.zip_with("own", "other", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / 2
         heard = pair.where(far <= confidence).groupBy("src").agg(*[F.avg(F.col("other")[j]).alias(f"m{j}") for j in range(k)])
         moved = F.array(*[F.col("p")[j] + susceptibility * (F.col(f"m{j}") - F.col("p")[j]) for j in range(k)])
         now = now.join(heard, now["id"] == heard["src"], "left").select("id", F.when(F.col("m0").isNotNull(), moved).otherwise(F.col("p")).alias("p"))
-        if i < rounds - 1 and now.sparkSession.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
+        if i < rounds - 1:
+            now = cut(now, "round")
     total = F.aggregate("p", F.lit(0.0), lambda s, x: s + x)
     return now.select(F.col("id").alias(key), F.transform("p", lambda x: x / total).alias("p"))

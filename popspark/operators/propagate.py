@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -50,6 +51,7 @@ class Softmax:
         return [(F.col(a) == x).cast("double") for a, levels in self.levels.items() for x in levels[1:]] + [F.col(t).cast("double") for t in self.traits]
 
     def fit(self, sample: DataFrame, k: int, weight: str = "weight") -> Softmax:
+        require(sample, [*self.levels, *self.traits], "the sample")
         rows = sample.where("p is not null").select(F.array(*self.features()).alias("x") if self.features() else F.array().cast("array<double>").alias("x"), "p", F.col(weight).cast("double").alias("w")).collect()
         if not rows:
             raise ValueError("no usable answers")
@@ -80,6 +82,7 @@ class Softmax:
         return self
 
     def predict(self, agents: DataFrame) -> DataFrame:
+        require(agents, [*self.levels, *self.traits], "the population")
         columns = self.features()
         z = [F.lit(float(b[0])) + sum((F.lit(float(c)) * f for c, f in zip(b[1:], columns, strict=True)), F.lit(0.0)) for b in self.beta]
         top = F.greatest(*z) if len(z) > 1 else z[0]
@@ -89,18 +92,38 @@ class Softmax:
         return agents.withColumn("p", F.array(*[at.get(i, F.lit(0.0)) for i in range(self.k)]))
 
 
-def trait_noise(agents: DataFrame, traits: Sequence[str], scale: float, seed: int, k: int) -> DataFrame:
-    """Log answers shifted by centred traits times normal loadings, then renormalised; a scale of 0 changes nothing."""
-    if scale <= 0 or not traits:
+def require(df: DataFrame, columns: Sequence[str], what: str = "the table") -> None:
+    """An error that names the columns df lacks."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{what} lacks {', '.join(missing)}")
+
+
+def _shifted(agents: DataFrame, shift: Sequence[Column], k: int) -> DataFrame:
+    z = [F.ln(F.greatest(F.col("p")[i], F.lit(1e-12))) + shift[i] for i in range(k)]
+    top = F.greatest(*z)
+    e = [F.exp(v - top) for v in z]
+    total = sum(e[1:], e[0])
+    return agents.withColumn("p", F.array(*[v / total for v in e]))
+
+
+def trait_noise(agents: DataFrame, traits: Sequence[str], scale: float, seed: int, k: int, key: str = "agent_id") -> DataFrame:
+    """Log answers shifted by centred traits times normal loadings, then renormalised; a scale of 0 changes nothing.
+
+    Without traits every agent and option has a normal shift of its own, by hash of the agent's key.
+    """
+    if scale <= 0:
         return agents
+    if not traits:
+        radius = lambda i: F.sqrt(-2 * F.ln(1 - hash_u(seed, "radius", F.col(key), F.lit(i))))
+        angle = lambda i: 2 * math.pi * hash_u(seed, "angle", F.col(key), F.lit(i))
+        return _shifted(agents, [scale * radius(i) * F.cos(angle(i)) for i in range(k)], k)
+    require(agents, traits, "the population")
     loading = np.random.default_rng(seed).normal(size=(len(traits), k))
     means = agents.agg(*[F.avg(t).alias(f"_m{j}") for j, t in enumerate(traits)])
     wide = agents.join(F.broadcast(means))  # one row
-    z = [F.ln(F.greatest(F.col("p")[i], F.lit(1e-12))) + scale * sum(((F.col(t) - F.col(f"_m{j}")) * float(loading[j, i]) for j, t in enumerate(traits)), F.lit(0.0)) for i in range(k)]
-    top = F.greatest(*z)
-    e = [F.exp(v - top) for v in z]
-    total = sum(e[1:], e[0])
-    return wide.withColumn("p", F.array(*[v / total for v in e])).drop(*[f"_m{j}" for j in range(len(traits))])
+    shift = [scale * sum(((F.col(t) - F.col(f"_m{j}")) * float(loading[j, i]) for j, t in enumerate(traits)), F.lit(0.0)) for i in range(k)]
+    return _shifted(wide, shift, k).drop(*[f"_m{j}" for j in range(len(traits))])
 
 
 def trait(name: str, seed: int, key: str = "agent_id") -> Column:

@@ -74,10 +74,11 @@ def rake(df: DataFrame, targets: Mapping[str, Mapping[str, float]], weight: str
 
 
 def fidelity(df: DataFrame, targets: DataFrame, dims: Sequence[str], weight: str = "weight") -> DataFrame:
-    """attribute, tae, max_deviation, srmse against targets (attribute, level, share)."""
+    """attribute, tae, max_deviation, srmse, worst_level, worst_deviation (signed) against targets (attribute, level, share)."""
     got = all_marginals(df, dims, weight).withColumnRenamed("share", "got")
     both = targets.where(F.col("attribute").isin(*dims)).join(got, ["attribute", "level"], "left").withColumn("d", F.coalesce("got", F.lit(0.0)) - F.col("share"))
-    return both.groupBy("attribute").agg(F.sum(F.abs("d")).alias("tae"), F.max(F.abs("d")).alias("max_deviation"), (F.sqrt(F.avg(F.col("d") * F.col("d"))) / F.avg("share")).alias("srmse"))
+    worst = F.max_by(F.struct("level", "d"), F.struct(F.abs("d").alias("size"), F.col("level")))  # ties: the last level
+    return both.groupBy("attribute").agg(F.sum(F.abs("d")).alias("tae"), F.max(F.abs("d")).alias("max_deviation"), (F.sqrt(F.avg(F.col("d") * F.col("d"))) / F.avg("share")).alias("srmse"), worst["level"].alias("worst_level"), worst["d"].alias("worst_deviation"))
 
 
 def joint_divergence(a: DataFrame, b: DataFrame, dims: Sequence[str], weight: str = "weight") -> DataFrame:

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import score
 from ..spec import Spec, from_dict, merge
 from .predict import Question, predict
-from .simulate import kept
 
 # fixed values: what each engine changes in a base spec
 ENGINES: dict[str, dict] = {
@@ -60,7 +60,7 @@ def run(spark: SparkSession, base: Mapping, engines: Sequence[str], bank: DataFr
         spec: Spec = from_dict(merge(base, ENGINES[name]))
         key = (spec.population, spec.seed)
         if key not in made:
-            made[key] = kept(population(spec))
+            made[key] = cut(population(spec), "population")
         found = predict(made[key], asked, spec, dict(levels), bank)
         rows = found.intervals(spec.estimator.level).withColumnRenamed("share", "p")
         out.append(rows.withColumns({"engine": F.lit(name), "claims": F.lit(found.draws is not None), "calls": F.lit(found.calls).cast("long")}))

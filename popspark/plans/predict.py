@@ -29,11 +29,12 @@ class Question:
 
 @dataclass
 class Predictions:
-    """shares: question_id, option_ix, share; draws: question_id, draw, option_ix, share, or None where none are claimed; calls made."""
+    """shares: question_id, option_ix, share; draws: question_id, draw, option_ix, share, or None where none are claimed; calls made; usable: question_id, asked, usable, failure_rate, where a provider was asked."""
 
     shares: DataFrame
     draws: DataFrame | None = None
     calls: int = 0
+    usable: DataFrame | None = None
 
     def intervals(self, level: float) -> DataFrame:
         """shares with low and high: equal-tailed quantiles of the draws, of no width without draws."""
@@ -123,7 +124,7 @@ def predict(population: DataFrame, questions: Sequence[Question], spec: Spec, le
     asked = sampling.stratified(population, spec.predictor.archetypes, spec.predictor.stratify_by, spec.seed, "agent_id") if hybrid else population
     size = asked.count()
     dims = list(spec.estimator.dimensions)
-    shares, draws = [], []
+    shares, draws, usable = [], [], []
     for k, some in by_k.items():
         sample = _answers(asked, some, spec, k, ask)
         if hybrid and spec.estimator.poststratify:
@@ -137,5 +138,8 @@ def predict(population: DataFrame, questions: Sequence[Question], spec: Spec, le
             everyone = [_carried(population, sample.where(F.col("question_id") == q.id), spec, levels, k).withColumn("question_id", F.lit(q.id)) for q in some]
             shares.append(_union([weighted.weighted_distribution(e, "p", k, by=["question_id"]) for e in everyone]))
         else:
-            shares.append(weighted.weighted_distribution(sample, "p", k, by=["question_id"]))
-    return Predictions(_union(shares), _union(draws) if draws else None, size * len(questions))
+            # dropping agents without a usable answer would weigh the population anew
+            shares.append(weighted.weighted_distribution(provider.filled(sample, k, ["question_id"]), "p", k, by=["question_id"]))
+        if ask.get("complete") is not None:
+            usable.append(provider.diagnostics(sample, ["question_id"]))
+    return Predictions(_union(shares), _union(draws) if draws else None, size * len(questions), _union(usable) if usable else None)

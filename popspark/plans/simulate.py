@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.taxonomy import Taxonomy
-from ..operators import cost, estimate, raking, synthesis
+from ..lineage import cut
+from ..operators import cost, estimate, raking, synthesis, weighted
 from ..sources.cache import ResponseCache
 from ..sources.targets import Targets
 from ..spec import Spec
@@ -28,6 +29,7 @@ class Result:
     fidelity: list[dict]
     rows: list[dict] = field(default_factory=list)
     contrasts: list[dict] = field(default_factory=list)
+    diagnostics: list[dict] = field(default_factory=list)
 
     def share(self, option: str, arm: str | None = None) -> float:
         arm = arm or next(iter(self.spec.scenario.questions()))
@@ -42,7 +44,7 @@ class Result:
         return {
             "name": self.spec.name, "seed": self.spec.seed, "spec": self.spec.fingerprint(), "population": self.fingerprint,
             "key": f"{self.spec.fingerprint()}:{self.spec.seed}:{self.fingerprint}",
-            "fidelity": rounded(self.fidelity), "predictions": rounded(self.rows), "contrasts": rounded(self.contrasts), "cost": self.meter.as_dict(),
+            "fidelity": rounded(self.fidelity), "predictions": rounded(self.rows), "contrasts": rounded(self.contrasts), "diagnostics": rounded(self.diagnostics), "cost": self.meter.as_dict(),
         }
 
     def to_json(self) -> str:
@@ -60,15 +62,6 @@ def synthesize(spark: SparkSession, spec: Spec, targets: Targets, microdata: Dat
     return synthesis.scaled(raking.rake(drawn, wanted.marginals)[0], wanted.population_total)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder where one is set; else cached with its lineage, which is deterministic."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
-
-
 def checked_fit(population: DataFrame, targets: Targets, attributes) -> list[dict]:
     """tae, max_deviation and srmse an attribute; an error where the population misses its targets."""
     rows = [r.asDict() for r in raking.fidelity(population, targets.frame(population.sparkSession), attributes).orderBy("attribute").collect()]
@@ -80,7 +73,7 @@ def checked_fit(population: DataFrame, targets: Targets, attributes) -> list[dic
 
 def run(spark: SparkSession, spec: Spec, taxonomy: Taxonomy, targets: Targets, microdata: DataFrame | None = None, complete=None, prices=cost.PRICES) -> Result:
     """The spec's arms over one population. complete: the provider (see sources.provider), none for the offline one."""
-    population = kept(synthesize(spark, spec, targets, microdata))
+    population = weighted.check_weights(cut(synthesize(spark, spec, targets, microdata), "population"))
     fit = checked_fit(population, targets, spec.population.attributes)
     arms, scenario = spec.scenario.questions(), spec.scenario
     questions = [Question(arm, scenario.question_id, text, scenario.options, scenario.context) for arm, text in arms.items()]
@@ -95,6 +88,8 @@ def run(spark: SparkSession, spec: Spec, taxonomy: Taxonomy, targets: Targets, m
         meter.calls += found.calls
     result = Result(spec, population, found, meter, synthesis.fingerprint(population), fit)
     place = {q.id: i for i, q in enumerate(questions)}
+    if found.usable is not None:
+        result.diagnostics = [r.asDict() for r in sorted(found.usable.collect(), key=lambda r: place[r["question_id"]])]
     for r in sorted(found.intervals(spec.estimator.level).collect(), key=lambda r: (place[r["question_id"]], r["option_ix"])):
         result.rows.append({"arm": r["question_id"], "option": scenario.options[r["option_ix"]], "share": r["share"], "low": r["low"], "high": r["high"]})
     first = questions[0].id

@@ -10,8 +10,33 @@ from pyspark.sql import functions as F
 SCHEMA = "key string, text string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long, at timestamp"
 
 
+class NullCache:
+    """Remembers nothing: for runs that are to be fresh."""
+
+    hits = misses = 0
+    hit_rate = 0.0
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def load(self) -> DataFrame:
+        return self.spark.createDataFrame([], SCHEMA)
+
+    def lookup(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return asked.join(self.load(), "key"), asked
+
+    def append(self, completions: DataFrame) -> None:
+        pass
+
+    def __len__(self) -> int:
+        return 0
+
+
 class ResponseCache:
+    """hits and misses count the lookups that were recorded."""
+
     def __init__(self, spark: SparkSession, path: str, model: str):
+        self.hits = self.misses = 0
         self.spark, self.path = spark, f"{path.rstrip('/')}/{re.sub(r'[^A-Za-z0-9._-]', '_', model)}"
 
     def load(self) -> DataFrame:
@@ -29,5 +54,15 @@ class ResponseCache:
         held = self.load()
         return asked.join(held, "key"), asked.join(held, "key", "left_anti")
 
+    def record(self, asked: int, missed: int) -> None:
+        self.hits, self.misses = self.hits + asked - missed, self.misses + missed
+
+    @property
+    def hit_rate(self) -> float:
+        return self.hits / (self.hits + self.misses) if self.hits + self.misses else 0.0
+
+    def __len__(self) -> int:
+        return self.load().count()
+
     def append(self, completions: DataFrame) -> None:
         completions.withColumn("at", F.current_timestamp()).write.mode("append").json(self.path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers
+from ..lineage import cut
 from ..operators import cost
 from .cache import ResponseCache
 
@@ -50,7 +51,7 @@ def respond(agents: DataFrame, attributes: Sequence[str], question: str, options
 
     Agents with equal attributes share a prompt; dedupe asks it once. The budget is checked before any call, with the
     calls still to make and their tokens estimated from lengths. A paid answer must not be asked again when a task is
-    retried: with a cache, completions are written to it first and read back.
+    retried: completions are written first, to the cache or the shared folder, and read back.
     """
     system = system_text(question, options, context)
     asked = prompts(agents, attributes, system, key)
@@ -62,36 +63,44 @@ def respond(agents: DataFrame, attributes: Sequence[str], question: str, options
             meter.calls += n
         found = asked.select("_id", answers.stub_weights(F.lit(system), F.col("prompt"), len(options)).alias("p"))
         return agents.join(found.withColumnRenamed("_id", key), key)
-    misses = cache.lookup(asked)[1] if cache else asked
-    wanted = misses.dropDuplicates(["key"]) if dedupe or cache else misses
+    misses = cache.lookup(asked)[1] if cache is not None else asked
+    wanted = misses.dropDuplicates(["key"]) if dedupe or cache is not None else misses
     meter = meter or cost.Meter()
     size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(answers.token_estimate(F.concat(F.lit(system), "prompt"))), F.lit(0)).alias("t")).first()
     if budget is not None:
         into, out = prices.get(model, (0.0, 0.0))
         budget.check(meter, size["n"], (size["t"] * into + size["n"] * max_tokens / 4 * out) / 1e6)
     got = ask(wanted, complete, system, max_tokens, batch_size, concurrency)
-    if cache:
+    if cache is not None:
         cache.append(got.drop("_id", "prompt"))
         both = asked.join(cache.load(), "key")
         fresh = both.join(misses.select("_id"), "_id", "left_semi")
         meter.record(fresh.dropDuplicates(["key"]).withColumns({"model": F.lit(model), "cached": F.lit(False)}), prices)
-        meter.cached_calls += asked.count() - size["n"]
+        n = asked.count()
+        cache.record(n, size["n"])
+        meter.cached_calls += n - size["n"]
     else:
-        got = got.persist()  # lineage stays: a lost block is asked again
+        got = cut(got, "answers")  # paid answers are asked once
         meter.record(got.withColumns({"model": F.lit(model), "cached": F.lit(False)}), prices)
         both = asked.join(got.select("key", "text").dropDuplicates(["key"]), "key") if dedupe else got
     found = both.select(F.col("_id").alias(key), answers.parse_answer(F.col("text"), options).alias("p"))
     return agents.join(found, key)
 
 
-def filled(responses: DataFrame, k: int) -> DataFrame:
-    """Agents without a usable answer get the plain mean of the usable ones; an error if there are none."""
-    mean = responses.where("p is not null").agg(*[F.avg(F.col("p")[i]).alias(f"m{i}") for i in range(k)]).first()
-    if mean["m0"] is None:
-        raise ValueError("no usable answers")
-    return responses.withColumn("p", F.coalesce("p", F.array(*[F.lit(float(mean[f"m{i}"])) for i in range(k)])))
+def filled(responses: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Agents without a usable answer get the plain mean of the usable ones, within by; an error if there are none."""
+    rows = responses.groupBy(*by).agg(*[F.avg(F.col("p")[i]).alias(f"m{i}") for i in range(k)]).collect()  # a row a question
+    bad = [tuple(r[b] for b in by) for r in rows if r["m0"] is None]
+    if bad:
+        raise ValueError(" ".join(["no usable answers", *(f"to {x}" for x in bad if x)]))
+    if not by:
+        return responses.withColumn("p", F.coalesce("p", F.array(*[F.lit(float(rows[0][f"m{i}"])) for i in range(k)])))
+    kinds = dict(responses.dtypes)
+    means = [(*(r[b] for b in by), [float(r[f"m{i}"]) for i in range(k)]) for r in rows]
+    means = responses.sparkSession.createDataFrame(means, ", ".join([*(f"{b} {kinds[b]}" for b in by), "_mean array<double>"]))
+    return responses.join(F.broadcast(means), list(by)).withColumn("p", F.coalesce("p", "_mean")).drop("_mean")
 
 
-def diagnostics(responses: DataFrame) -> DataFrame:
-    """asked, usable, failure_rate."""
-    return responses.agg(F.count("*").alias("asked"), F.count("p").alias("usable"), F.avg(F.col("p").isNull().cast("double")).alias("failure_rate"))
+def diagnostics(responses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, asked, usable, failure_rate."""
+    return responses.groupBy(*by).agg(F.count("*").alias("asked"), F.count("p").alias("usable"), F.avg(F.col("p").isNull().cast("double")).alias("failure_rate"))

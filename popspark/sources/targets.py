@@ -92,9 +92,15 @@ class QuestionBank:
             raise ValueError(f"experiment {r['id']}: " + ("an unknown arm" if r["unknown"] else "the contrast is not an option" if r["absent"] else "arms with different options"))
 
     def split(self, held_out: Sequence[str]) -> tuple[QuestionBank, QuestionBank]:
-        """(the rest, the questions of the groups held out)."""
+        """(the rest, the questions of the groups held out), each with its own segments and experiments."""
         held = F.col("group_id").isin(*held_out)
-        return QuestionBank(self.questions.where(~held), self.experiments), QuestionBank(self.questions.where(held), self.experiments)
+
+        def part(questions: DataFrame) -> QuestionBank:
+            ids = questions.select("question_id", "group_id").distinct()
+            segments = self.segments and self.segments.join(ids.select("question_id"), "question_id", "left_semi")
+            return QuestionBank(questions, self.experiments.join(ids, self.experiments["id"] == ids["group_id"], "left_semi"), segments)
+
+        return part(self.questions.where(~held)), part(self.questions.where(held))
 
     def gaps(self) -> DataFrame:
         """id, gap: the second arm's published share of the contrast option less the first's."""
