@@ -27,8 +27,11 @@ from .simhash import hashed_words, mix
 SIDE, HALF_WIDTH = 9, 3
 #: Up to so many ids (8 and 16 bytes each) are broadcast to where the texts are; beyond, texts are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Shingles hashed at once.
-BLOCK = 4096
+#: Shingles hashed at once; places of a component's vertices.
+BLOCK, SPREAD = 4096, 32
+#: Rows of a key that are joined in one place: so many, or the MOST_BUSY-th part of all rows, so that at most MOST_BUSY keys
+#: have more, and a list of these is broadcast.
+KEY_ROWS, MOST_BUSY = 256, 100_000
 _K = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _MASKS = mix(np.arange(1, 2 * SIDE * HALF_WIDTH + 1, dtype=np.uint64) * _K[0])
 
@@ -95,6 +98,27 @@ def _sets(width: int):
     return run
 
 
+def busy(counts: DataFrame, rows: int, *keys: str) -> DataFrame | None:
+    """keys, salts: over how many places to deal the rows of each busy key; None if there is none. counts: keys, c; rows: the sum of c."""
+    most = max(KEY_ROWS, rows // MOST_BUSY)
+    often = materialise(counts.where(F.col("c") > most).select(*keys, F.ceil(F.col("c") / most).cast("int").alias("salts")), "busy")
+    return None if often.isEmpty() else F.broadcast(often)
+
+
+def by_key(rows: DataFrame, others: DataFrame, keys: list[str], dealt: str, often: DataFrame | None) -> DataFrame:
+    """rows joined with others on keys: a busy key's rows are dealt over its places by hash of a column, others go to each."""
+    if often is None:
+        return rows.join(others, keys)
+    place = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(dealt), F.col("salts"))).otherwise(0).cast("int")
+    rows = rows.join(often, keys, "left").withColumn("place", place).drop("salts")
+    others = others.join(often, keys, "left").withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return rows.join(others, [*keys, "place"]).drop("place")
+
+
+def number(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("c"))
+
+
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """v, label: the least label of each vertex's component. edges: a, b; labels: v, label, a row a vertex.
 
@@ -105,12 +129,16 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     if both.isEmpty():
         return labels
     now = materialise(labels.withColumn("own", F.col("label")), "labels")
+    often = busy(number(both, "b"), both.count(), "b")
     while True:
-        least = both.join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        least = by_key(both, now.select(F.col("v").alias("b"), "label"), ["b"], "a", often).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         step = now.join(least, "v", "left").select("v", "own", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
         # the vertex a label is named after may know a smaller one
         jump = step.where("label < own").groupBy(F.col("own").alias("name")).agg(F.min("label").alias("next"))
-        step = step.join(jump, step["label"] == jump["name"], "left").select("v", "own", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
+        # a large component's vertices share one label: they are dealt over SPREAD places
+        jump = jump.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        step = step.withColumn("place", F.pmod(F.xxhash64("v"), F.lit(SPREAD)).cast("int"))
+        step = step.join(jump, (step["label"] == jump["name"]) & (step["place"] == jump["place"]), "left").select("v", "own", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
         after = materialise(step, "labels")
         if after.where("label <> was").isEmpty():
             return after.select("v", "label")
@@ -141,11 +169,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keyed = crossed.select("v", F.explode("l").alias("l"), "r").select("v", "l", F.explode("r").alias("r")).select("v", F.xxhash64("l", "r").alias("key"))
     keyed = materialise(keyed, "tables")
     # the hub of a bucket is its set that meets most others, over all buckets: the middle of its group
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    bucket = materialise(keyed.join(counts, "key"), "buckets")
+    counts = materialise(number(keyed, "key").where("c > 1"), "counts")
+    often = busy(counts, keyed.count(), "key")
+    bucket = materialise(by_key(keyed, counts, ["key"], "v", often), "buckets")
     weight = bucket.groupBy("v").agg(F.sum("c").alias("weight"))
     hubs = bucket.join(weight, "v").groupBy("key").agg(F.max(F.struct("weight", "v"))["v"].alias("hub"))
-    star = materialise(bucket.join(hubs, "key").select("hub", "v").where("hub <> v").distinct(), "star")
+    star = materialise(by_key(bucket, hubs, ["key"], "v", often).select("hub", "v").where("hub <> v").distinct(), "star")
 
     found = materialise(bucket.select("v").distinct().join(vertex.select("v", "label"), "v"), "candidates")
     # a text of each candidate set: any row with its doc_id and identity has it
@@ -156,17 +185,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = texts.select("v", "text").mapInArrow(_sets(width), "v binary, members array<long>")
     members = materialise(members.groupBy("v").agg(F.first("members").alias("members")), "sets")
 
-    def with_sets(pairs: DataFrame, x: str, y: str) -> DataFrame:
-        for v, name in ((x, "sx"), (y, "sy")):
-            pairs = pairs.join(members.select(F.col("v").alias(v), F.col("members").alias(name)), v)
+    def with_sets(pairs: DataFrame, x: str, y: str, often_x: DataFrame | None, often_y: DataFrame | None) -> DataFrame:
+        for v, other, name, often in ((x, y, "sx", often_x), (y, x, "sy", often_y)):
+            pairs = by_key(pairs, members.select(F.col("v").alias(v), F.col("members").alias(name)), [v], other, often)
         return pairs
 
-    def compared(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    def compared(pairs: DataFrame, x: str, y: str, often_x: DataFrame | None, often_y: DataFrame | None) -> DataFrame:
         """The pairs with their full sets' sizes nx, ny, the size c of what they share, and whether that links them."""
-        sets = with_sets(pairs, x, y).select(x, y, F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("c"))
+        sets = with_sets(pairs, x, y, often_x, often_y).select(x, y, F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("c"))
         return sets.withColumn("linked", 100 * F.col("c").cast("long") >= percent * (F.col("nx") + F.col("ny") - F.col("c")))
 
-    star = materialise(compared(star, "v", "hub"), "compared")
+    # a set is in SIDE squared buckets at most; a hub may be in any number of pairs
+    busy_hubs = busy(number(star, "hub"), star.count(), "hub")
+    star = materialise(compared(star, "v", "hub", None, busy_hubs), "compared")
     links = star.where("linked").select(F.col("v").alias("a"), F.col("hub").alias("b"))
     label = components(links, found.select("v", "label"))
 
@@ -174,27 +205,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # of the hub at most; to be linked they must share `need` in all, so either y is small enough for need <= c(x, hub),
     # or they share shingles that the hub lacks, as many as are missing. With these in one order, the rare first, the
     # first one shared must leave either with enough to come.
-    near = star.select("hub", "v", F.col("nx").alias("n"), "c").join(label, "v").join(label.select(F.col("v").alias("hub"), F.col("label").alias("home")), "hub")
+    near = star.select("hub", "v", F.col("nx").alias("n"), "c").join(label, "v")
+    near = by_key(near, label.select(F.col("v").alias("hub"), F.col("label").alias("home")), ["hub"], "v", busy_hubs)
+    near = materialise(near, "homes")
     mixed = near.where("label <> home").select("hub").distinct()
-    near = materialise(near.join(mixed, "hub"), "near")
+    near = materialise(by_key(near, mixed, ["hub"], "v", busy_hubs), "near")
     outside, inside = near.where("label <> home"), near
     share = percent / (100 + percent)
     need = F.ceil(share * (F.col("n_x") + F.col("n_y")) - 1e-9) - F.least("c_x", "c_y")
     of = lambda df, end: df.select("hub", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c not in ("hub", "shingle")], *[c for c in df.columns if c == "shingle"])
     low, high = F.ceil(F.col("n_x") * percent / 100.0 - 1e-9), F.floor(F.col("c_x") / share + 1e-9) - F.col("n_x")
     small = of(outside, "x").where(low <= high).withColumn("n_y", F.explode(F.sequence(low, high))).withColumn("n_y", F.col("n_y").cast("int"))
-    small = small.join(of(inside, "y"), ["hub", "n_y"]).where((F.col("label_x") != F.col("label_y")) & (need <= 0))
-    own = materialise(with_sets(near, "v", "hub").select("hub", "v", "n", "c", "label", "home", F.explode(F.array_except("sx", "sy")).alias("shingle")), "own")
-    often = own.groupBy("hub", "shingle").agg(F.count("*").alias("often"))
+    often = busy(number(near.withColumnRenamed("n", "n_y"), "hub", "n_y"), near.count(), "hub", "n_y")
+    small = by_key(of(inside, "y"), small, ["hub", "n_y"], "v_y", often).where((F.col("label_x") != F.col("label_y")) & (need <= 0))
+    own = materialise(with_sets(near, "v", "hub", None, busy_hubs).select("hub", "v", "n", "c", "label", "home", F.explode(F.array_except("sx", "sy")).alias("shingle")), "own")
+    counts = materialise(number(own, "hub", "shingle"), "counts")
+    often = busy(counts, own.count(), "hub", "shingle")
     to_come = F.col("n") - F.col("c") - F.row_number().over(Window.partitionBy("hub", "v").orderBy("often", "shingle")) + 1
     # the first one shared leaves at least what the smallest partner would still need
     least = F.ceil(F.col("n") * percent / 100.0 - 1e-9) - F.col("c")
-    own = materialise(own.join(often, ["hub", "shingle"]).withColumn("left", to_come).where((F.col("often") > 1) & (F.col("left") >= least)).drop("often"), "own")
-    beside = of(own.where("label <> home"), "x").join(of(own, "y"), ["hub", "shingle"])
+    counted = by_key(own, counts.withColumnRenamed("c", "often"), ["hub", "shingle"], "v", often)
+    own = materialise(counted.withColumn("left", to_come).where((F.col("often") > 1) & (F.col("left") >= least)).drop("often"), "own")
+    beside = by_key(of(own, "y"), of(own.where("label <> home"), "x"), ["hub", "shingle"], "v_y", often)
     beside = beside.where((F.col("label_x") != F.col("label_y")) & (need <= F.least("left_x", "left_y")))
     order = [F.least("v_x", "v_y").alias("a"), F.greatest("v_x", "v_y").alias("b")]
     pairs = materialise(small.select(*order).union(beside.select(*order)).distinct(), "pairs")
-    late = materialise(compared(pairs, "a", "b").where("linked").select("a", "b"), "links")
+    busy_a, busy_b = (busy(number(pairs, x), pairs.count(), x) for x in ("a", "b"))
+    late = materialise(compared(pairs, "a", "b", busy_a, busy_b).where("linked").select("a", "b"), "links")
     if not late.isEmpty():
         label = components(links.unionByName(late), found.select("v", "label"))
 

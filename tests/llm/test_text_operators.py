@@ -429,7 +429,18 @@ def brute_components(rows, width, percent=80):
     return {doc_id: (len(sets[i]), low[root(i)]) for i, (doc_id, _) in enumerate(rows)}
 
 
-def test_minhash_against_brute_force(spark):
+@pytest.mark.parametrize("key_rows", [256, 1])
+def test_minhash_against_brute_force(spark, monkeypatch, key_rows):
+    reached, busy = [], minhash.busy
+
+    def watched(counts, rows, *keys):
+        often = busy(counts, rows, *keys)
+        if often is not None:
+            reached.append(keys)
+        return often
+
+    monkeypatch.setattr(minhash, "KEY_ROWS", key_rows)
+    monkeypatch.setattr(minhash, "busy", watched)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
@@ -444,6 +455,8 @@ def test_minhash_against_brute_force(spark):
     want = brute_components(rows, 4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
     assert got == want
+    if key_rows == 1:  # keys are dealt over several places in every join
+        assert {("key",), ("hub",), ("b",), ("hub", "n_y"), ("hub", "shingle"), ("a",)} <= set(reached)
 
 
 def test_components_of_a_long_chain(spark):
