@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     signed = materialise(rows.mapInArrow(_signatures(width), "doc_id long, n_shingles long, v binary, keys array<long>"), "signatures")
     named = signed.where("doc_id is not null and v is not null")
-    vertex = materialise(named.groupBy("v").agg(F.min("doc_id").alias("label"), F.first("keys").alias("keys")), "vertices")
+    vertex = materialise(named.groupBy("v").agg(F.min("doc_id").alias("label"), F.first("keys").alias("keys"), F.count("*").alias("c")), "vertices")
 
     # half-keys that two sets share at least
     each = vertex.select("v", F.posexplode("keys").alias("slot", "half")).select("v", "slot", F.xxhash64("slot", "half").alias("half"))
@@ -236,9 +236,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         label = components(links.unionByName(late), found.select("v", "label"))
 
     final = vertex.select("v", "label").join(label.select("v", F.col("label").alias("joined")), "v", "left").select("v", F.coalesce("joined", "label").alias("component_id"))
-    out = signed.join(final, "v", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    copies = busy(vertex.select("v", "c"), signed.count(), "v")  # of one set
+    joined = by_key(named, final, ["v"], "doc_id", copies).select("doc_id", "n_shingles", "component_id")
+    alone = signed.where("doc_id is null or v is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -452,11 +452,12 @@ def test_minhash_against_brute_force(spark, monkeypatch, key_rows):
                 at = rng.randrange(len(copy))
                 copy[at : at + 1] = rng.choice([[], [word()], [copy[at], word()]])
             rows.append((10_000 + len(rows), " ".join(copy)))
+    rows += [(20_000 + i, rows[-1][1]) for i in range(9)]  # exact copies
     want = brute_components(rows, 4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
     assert got == want
     if key_rows == 1:  # keys are dealt over several places in every join
-        assert {("key",), ("hub",), ("b",), ("hub", "n_y"), ("hub", "shingle"), ("a",)} <= set(reached)
+        assert {("v",), ("key",), ("hub",), ("b",), ("hub", "n_y"), ("hub", "shingle"), ("a",)} <= set(reached)
 
 
 def test_components_of_a_long_chain(spark):
