@@ -626,23 +626,44 @@ def test_scoring_against_brute_force(spark, words, monkeypatch):
 # -- top-k
 
 
+def plain_top(rows, k=5):
+    """Of (id, vector) rows: query id, rank, id, score, as often as rows are alike."""
+    whole = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows]
+    want = []
+    for a, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            scored = sorted((-int(v @ c), i) for b, (i, c) in enumerate(whole) if a != b and len(c) == len(v))[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(want)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
-    x = (centres[rng.integers(0, 12, 700)] + 0.1 * rng.normal(size=(700, 16))) / 3
+    x = ((centres[rng.integers(0, 12, 700)] + 0.1 * rng.normal(size=(700, 16))) / 3).astype(np.float32)
     rows = [(i, [float(v) for v in x[i]]) for i in range(700)]
-    rows += [(700 + i, rows[50][1]) for i in range(30)]  # ties
-    rows += [(800, None), (801, [1.0, float("nan")]), (802, [1.0, None]), (None, [0.0] * 16), (850, [0.5, 0.5]), (900, [float("inf")] * 16), (50, [9.0] * 16)]
-    vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 737, group=100)
-    have = {r["vec_id"]: np.array(r["v"]) for r in vectors.collect()}
-    assert 800 not in have and 802 not in have and 900 not in have and (have[50] < 9 * 256).any()
-    want = set()
-    for q, v in have.items():
-        if q % 50 == 0:
-            scored = sorted(((-int(v @ c), i) for i, c in have.items() if i != q and len(c) == len(v)))[:5]
-            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
-    assert {tuple(r) for r in got.collect()} == want
+    rows += [(700 + i, rows[50][1]) for i in range(330)]  # ties, and a third of all in one place
+    rows += [(850, [0.5, 0.5]), (50, [9.0] * 16), (50, [9.0] * 16), rows[100], *[rows[150]] * 7, *[rows[151]] * 9, (1100, [1.0, 2.0, 3.0]), (1150, [])]
+    unusable = [(1200, None), (1201, [1.0, float("nan")]), (1202, [1.0, None]), (None, [0.0] * 16), (1250, [float("inf")] * 16)]
+    vectors = topk.usable(spark.createDataFrame(rows + unusable, "vec_id long, embedding array<float>")).cache()
+    asked = vectors.where(F.col("vec_id") % 50 == 0)
+    for group in (100, 5000):
+        got = topk.top_k(vectors, asked, len(rows), group=group)
+        assert sorted(tuple(r) for r in got.collect()) == plain_top(rows), group
+    vectors.unpersist()
+
+
+def test_topk_visits_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = 200 * rng.normal(size=(20, 8))
+    x = np.floor(centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 8))).astype(int)
+    rows = spark.createDataFrame([(i, v.tolist(), 8, 1) for i, v in enumerate(x)], "vec_id long, v array<long>, dim int, n long")
+    pivots = topk._pivots(rows, 20)
+    cells = {r["cell"]: (r["far"], r["most"]) for r in rows.mapInArrow(topk._cells(pivots), "vec_id long, v array<long>, dim int, n long, cell int, far double, most double").groupBy("cell").agg(F.max("far").alias("far"), F.max("most").alias("most")).collect()}
+    floor = sorted(x @ x[0])[-6]
+    asked = rows.where("vec_id = 0").withColumn("floor", F.lit(int(floor)).cast("long"))
+    to = asked.mapInArrow(topk._routes(pivots, cells), "vec_id long, v array<long>, dim int, n long, floor long, to array<int>").first()["to"]
+    assert 0 < len(to) < len(cells) / 2
 
 
 def test_mtree_skips_what_bounds_exclude():
