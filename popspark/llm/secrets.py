@@ -1,10 +1,10 @@
 """Secret scans: three base patterns plus sliding-window Shannon entropy, in built-in expressions only.
 
 Spans are found by extracting, for every match, the gap before it: the running sum of the lengths of gaps and matches
-gives the code-point offsets. For entropy, runs of one character class are candidates; a window slides over a run and
-S = sum of c log2 c is updated from the counts of the character that leaves and the one that enters, so that each step
-costs two counts, and H = log2(w) - S / w. A run is a finding if some window reaches the threshold of its class and the
-allow-list does not know it. Rows are independent: no shuffle.
+gives the code-point offsets. For entropy, runs of one character class are candidates; a window slides over a run, the
+counts of its characters are carried from step to step, S = sum of c log2 c is updated from the two counts that change, and
+H = log2(w) - S / w. A run is a finding if some window without allow-listed text, with a letter and a digit in its part of
+the run, reaches the threshold of its class. Rows are independent: no shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(
 #: class -> (characters, threshold in bits). A window of 20 has at most log2(20) = 4.32.
 CLASSES = {"hex": ("0-9a-fA-F", 3.0), "base64": ("A-Za-z0-9+/_-", 3.8)}
 WINDOW = 20
-#: Candidates that hold one of these are known not to be secrets.
-ALLOW = r"(?i)example|placeholder|dummy|changeme|0123456789|abcdefghij|(.)\1{7}"
+#: Known not to be secrets: what holds one of these is cut there, and only the parts between are looked at.
+ALLOW = r"(?i)example|placeholder|dummy|changeme|0123456789|abcdefghij|(.)\1{7,}"
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -50,18 +50,19 @@ def _weigh(count: Column) -> Column:
 def top_entropy(run: Column, window: int = WINDOW) -> Column:
     """The largest entropy (bits) of a window of the run; null if the run is shorter than the window."""
     chars = F.split(run, "")
-    first = F.slice(chars, 1, window)
-    count = lambda part, c: F.size(F.filter(part, lambda x: x == c))
-    begin = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda s, c: s + _weigh(count(first, c)))
+    first, known = F.slice(chars, 1, window), F.array_distinct(chars)
+    counted = F.transform(known, lambda c: F.size(F.filter(first, lambda x: x == c)))
+    begin = F.aggregate(counted, F.lit(0.0), lambda s, c: s + _weigh(c))
 
     def step(acc: Column, i: Column) -> Column:  # the window that ends before i moves on by one
-        left, leaves, enters = F.slice(chars, i - window + 1, window - 1), F.element_at(chars, i - window), F.element_at(chars, i)
-        out, into = count(left, leaves), count(left, enters)
-        s = acc["s"] + _weigh(out) - _weigh(out + 1) + _weigh(into + 1) - _weigh(into)
-        return F.struct(s.alias("s"), F.least(acc["low"], s).alias("low"))
+        leaves, enters = F.array_position(known, F.element_at(chars, i - window)), F.array_position(known, F.element_at(chars, i))
+        out, into = (F.element_at(acc["counts"], at.cast("int")) for at in (leaves, enters))
+        s = acc["s"] + F.when(leaves == enters, 0.0).otherwise(_weigh(out - 1) - _weigh(out) + _weigh(into + 1) - _weigh(into))
+        counts = F.transform(acc["counts"], lambda c, j: c + (j + 1 == enters).cast("int") - (j + 1 == leaves).cast("int"))
+        return F.struct(counts.alias("counts"), s.alias("s"), F.least(acc["low"], s).alias("low"))
 
     rest = F.when(F.size(chars) > window, F.sequence(F.lit(window + 1), F.size(chars))).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(rest, F.struct(begin.alias("s"), begin.alias("low")), step, lambda acc: acc["low"])
+    low = F.aggregate(rest, F.struct(counted.alias("counts"), begin.alias("s"), begin.alias("low")), step, lambda acc: acc["low"])
     return F.when(F.size(chars) >= window, F.lit(log2(window)) - low / window)
 
 
@@ -81,8 +82,9 @@ def spans(text: Column) -> tuple[Column, Column]:
         run = f"[{chars}]{{{WINDOW},}}+"
 
         def secret(hit: Column, part: Column, threshold: float = threshold) -> Column:
-            mixed = F.rlike(hit, F.lit("[0-9]")) & F.rlike(hit, F.lit("[A-Za-z]")) & ~F.rlike(hit, F.lit(ALLOW))
-            return F.when(mixed, top_entropy(hit) >= threshold).otherwise(F.lit(False))
+            mixed = lambda x: F.rlike(x, F.lit("[0-9]")) & F.rlike(x, F.lit("[A-Za-z]"))
+            part = lambda x: F.when((F.length(x) >= WINDOW) & mixed(x), top_entropy(x) >= threshold).otherwise(F.lit(False))
+            return F.when(mixed(hit), F.exists(F.split(hit, ALLOW), part)).otherwise(F.lit(False))
 
         found.append(F.when(F.rlike(text, F.lit(run)), _spans(text, run, 3, secret)).otherwise(none))
     return F.array_sort(F.concat(assign, access, long_hex)), F.array_sort(F.array_distinct(F.concat(*found)))

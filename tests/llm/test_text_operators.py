@@ -497,7 +497,11 @@ def test_secrets_entropy(spark):
     def entropy(s):
         return max(math.log2(20) - sum(c * math.log2(c) for c in collections.Counter(s[i : i + 20]).values()) / 20 for i in range(len(s) - 19))
 
-    runs = spark.createDataFrame([(key,), ("ab12" * 10,), (key[:20],)], "r string").select("r", secrets.top_entropy(F.col("r")).alias("h"))
+    beside = [f"docs/example/{key}", f"{key}00000000{key[:5]}", f"{key[:15]}example{key[15:30]}", f"{key[:19]}EXAMPLE"]
+    more = spark.createDataFrame(list(enumerate(beside)), "doc_id long, text string")
+    assert [[(s["start"], s["stop"]) for s in r["added"]] for r in secrets.scan(more).orderBy("doc_id").collect()] == [[(0, 53)], [(0, 53)], [], []]
+    varied = ["".join(rng.choice("ab12XY-_"[: rng.randint(1, 8)]) for _ in range(rng.randint(20, 120))) for _ in range(60)]
+    runs = spark.createDataFrame([(x,) for x in [key, "ab12" * 10, key[:20], *varied]], "r string").select("r", secrets.top_entropy(F.col("r")).alias("h"))
     assert all(r["h"] == pytest.approx(entropy(r["r"])) for r in runs.collect())
     assert {r["text"] for r in secrets.redact(df.where("doc_id = 0")).collect()} == {"see <SECRET> here"}
 
