@@ -43,13 +43,15 @@ def questions_of(bank: DataFrame, only: Sequence[str] = ()) -> list[Question]:
     return [Question(r["question_id"], r["group_id"], r["text"], tuple(x["option"] for x in r["o"])) for r in packed.orderBy("question_id").collect()]
 
 
-def run(spark: SparkSession, base: Mapping, engines: Sequence[str], bank: DataFrame, population, levels: Mapping[str, Sequence[str]], only: Sequence[str] = ()) -> DataFrame:
+def run(spark: SparkSession, base: Mapping, engines: Sequence[str] | Mapping[str, Mapping], bank: DataFrame, population, levels: Mapping[str, Sequence[str]], only: Sequence[str] = ()) -> DataFrame:
     """engine, question_id, group_id, option_ix, p, t, se, low, high, claims (whether an interval is claimed), calls.
 
     population(spec) makes a population; engines with equal population block and seed share one. The prior of a question
-    is fitted without its group. bank: question_id, group_id, text, option_ix, option, topline, se.
+    is fitted without its group. engines: names of ENGINES, or engines of the user's own as name -> changes to the base spec.
+    bank: question_id, group_id, text, option_ix, option, topline, se.
     """
-    unknown = sorted(set(engines) - set(ENGINES))
+    changes = engines if isinstance(engines, Mapping) else ENGINES
+    unknown = sorted(set(engines) - set(changes))
     if unknown:
         raise ValueError(f"unknown engines: {', '.join(unknown)}")
     asked, made, out = questions_of(bank, only), {}, []
@@ -57,7 +59,7 @@ def run(spark: SparkSession, base: Mapping, engines: Sequence[str], bank: DataFr
         raise ValueError("no questions to score")
     truth = bank.select("question_id", "group_id", "option_ix", F.col("topline").alias("t"), "se")
     for name in engines:
-        spec: Spec = from_dict(merge(base, ENGINES[name]))
+        spec: Spec = from_dict(merge(base, changes[name]))
         key = (spec.population, spec.seed)
         if key not in made:
             made[key] = cut(population(spec), "population")

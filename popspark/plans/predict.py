@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import contracts
 from ..functions import answers
 from ..operators import estimate, graph, propagate, sampling, weighted
 from ..operators.weighted import cells
@@ -84,11 +85,13 @@ def _answers(agents: DataFrame, questions: Sequence[Question], spec: Spec, k: in
     return _union([provider.respond(agents, attributes, q.text, q.options, context=q.context, **ask).withColumn("question_id", F.lit(q.id)) for q in questions])
 
 
-def _carried(population: DataFrame, sample: DataFrame, spec: Spec, levels: dict[str, Sequence[str]], k: int) -> DataFrame:
+def _carried(population: DataFrame, sample: DataFrame, spec: Spec, levels: dict[str, Sequence[str]], k: int, own_world: contracts.World | None = None) -> DataFrame:
     """One question's answers carried from the sample to everyone."""
     kind, dims, traits = spec.predictor.propagator, list(spec.predictor.stratify_by), [f"trait_{t}" for t in spec.population.traits]
     plain = sample.drop("question_id")
-    if kind == "mean":
+    if kind in contracts.propagators:
+        everyone = contracts.propagators[kind](population, plain, spec, levels, k)
+    elif kind == "mean":
         everyone = propagate.by_mean(population, plain, k)
     elif kind == "cell_mean":
         everyone = propagate.by_cell(population, plain, dims, k)
@@ -96,6 +99,8 @@ def _carried(population: DataFrame, sample: DataFrame, spec: Spec, levels: dict[
         used = {a: levels[a] for a in spec.population.attributes if a in levels}
         everyone = propagate.Softmax(used, traits).fit(plain, k).predict(population)
     everyone = propagate.trait_noise(everyone, traits, spec.predictor.trait_noise, spec.seed + 2, k)
+    if own_world is not None:
+        return own_world(everyone, spec, k)
     world = spec.world
     if world.network.enabled and world.dynamics.enabled:
         edges = graph.build(population, world.network.dimensions or spec.population.attributes[:1], world.network.mean_degree, world.network.homophily, spec.seed)
@@ -104,11 +109,13 @@ def _carried(population: DataFrame, sample: DataFrame, spec: Spec, levels: dict[
     return everyone
 
 
-def predict(population: DataFrame, questions: Sequence[Question], spec: Spec, levels: dict[str, Sequence[str]], bank: DataFrame | None = None, ask: dict | None = None) -> Predictions:
+def predict(population: DataFrame, questions: Sequence[Question], spec: Spec, levels: dict[str, Sequence[str]], bank: DataFrame | None = None, ask: dict | None = None, parts: contracts.Parts = contracts.Parts()) -> Predictions:
     """All questions by the spec's predictor and estimator, with one pass over the population a number of options.
 
     population: agent_id, attributes, trait_*, weight. Poststratified estimates come from the measured sample and the
     population's cells alone; carrying answers to every agent, and influence, are planned only where the estimate uses them.
+    A world or an estimator of the user's own works on every agent's answers, so these are always carried then; a registered
+    predictor answers for every agent by itself. Estimators of the user's own claim no draws.
     """
     ask, kind = ask or {}, spec.predictor.kind
     if kind in ("uniform", "classical"):
@@ -125,9 +132,16 @@ def predict(population: DataFrame, questions: Sequence[Question], spec: Spec, le
     size = asked.count()
     dims = list(spec.estimator.dimensions)
     shares, draws, usable = [], [], []
+
+    def measure(responses: DataFrame, k: int) -> DataFrame:
+        if parts.estimator is not None:
+            return parts.estimator(responses, spec, k).select("question_id", "option_ix", "share")
+        return weighted.weighted_distribution(responses, "p", k, by=["question_id"])
+
     for k, some in by_k.items():
-        sample = _answers(asked, some, spec, k, ask)
-        if hybrid and spec.estimator.poststratify:
+        own = contracts.predictors.get(kind)
+        sample = own(asked, some, spec, k) if own else _answers(asked, some, spec, k, ask)
+        if hybrid and spec.estimator.poststratify and parts.world is None and parts.estimator is None:
             wanted = cells(population, dims).withColumn("question_id", F.explode(F.array(*[F.lit(q.id) for q in some])))
             counts = estimate.evidence(wanted, sample, dims, k, by=["question_id"])
             posterior = estimate.pooled(counts, k, None if spec.estimator.mrp else UNPOOLED, by=["question_id"])
@@ -135,11 +149,14 @@ def predict(population: DataFrame, questions: Sequence[Question], spec: Spec, le
             if spec.estimator.draws:
                 draws.append(estimate.draws(posterior, dims, k, spec.estimator.draws, spec.seed, by=["question_id"]))
         elif hybrid:
-            everyone = [_carried(population, sample.where(F.col("question_id") == q.id), spec, levels, k).withColumn("question_id", F.lit(q.id)) for q in some]
-            shares.append(_union([weighted.weighted_distribution(e, "p", k, by=["question_id"]) for e in everyone]))
+            everyone = [_carried(population, sample.where(F.col("question_id") == q.id), spec, levels, k, parts.world).withColumn("question_id", F.lit(q.id)) for q in some]
+            shares.append(_union([measure(e, k) for e in everyone]))
         else:
             # dropping agents without a usable answer would weigh the population anew
-            shares.append(weighted.weighted_distribution(provider.filled(sample, k, ["question_id"]), "p", k, by=["question_id"]))
+            full = provider.filled(sample, k, ["question_id"])
+            if parts.world is not None:
+                full = _union([parts.world(full.where(F.col("question_id") == q.id).drop("question_id"), spec, k).withColumn("question_id", F.lit(q.id)) for q in some])
+            shares.append(measure(full, k))
         if ask.get("complete") is not None:
             usable.append(provider.diagnostics(sample, ["question_id"]))
-    return Predictions(_union(shares), _union(draws) if draws else None, size * len(questions), _union(usable) if usable else None)
+    return Predictions(_union(shares), _union(draws) if draws else None, 0 if kind in contracts.predictors else size * len(questions), _union(usable) if usable else None)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..contracts import Parts
 from ..functions.taxonomy import Taxonomy
 from ..lineage import cut
 from ..operators import cost, estimate, raking, synthesis, weighted
@@ -71,9 +72,9 @@ def checked_fit(population: DataFrame, targets: Targets, attributes) -> list[dic
     return rows
 
 
-def run(spark: SparkSession, spec: Spec, taxonomy: Taxonomy, targets: Targets, microdata: DataFrame | None = None, complete=None, prices=cost.PRICES) -> Result:
-    """The spec's arms over one population. complete: the provider (see sources.provider), none for the offline one."""
-    population = weighted.check_weights(cut(synthesize(spark, spec, targets, microdata), "population"))
+def run(spark: SparkSession, spec: Spec, taxonomy: Taxonomy, targets: Targets, microdata: DataFrame | None = None, complete=None, prices=cost.PRICES, parts: Parts = Parts()) -> Result:
+    """The spec's arms over one population. complete: the provider (see sources.provider), none for the offline one; parts: the user's own in place of built-in ones."""
+    population = weighted.check_weights(cut((parts.synthesizer or synthesize)(spark, spec, targets, microdata), "population"))
     fit = checked_fit(population, targets, spec.population.attributes)
     arms, scenario = spec.scenario.questions(), spec.scenario
     questions = [Question(arm, scenario.question_id, text, scenario.options, scenario.context) for arm, text in arms.items()]
@@ -82,7 +83,7 @@ def run(spark: SparkSession, spec: Spec, taxonomy: Taxonomy, targets: Targets, m
     if complete is not None:
         cache = ResponseCache(spark, model.cache_dir, model.model) if model.cache_dir else None
         ask = dict(complete=complete, cache=cache, meter=meter, budget=budget, model=model.model, prices=prices, max_tokens=model.max_tokens, batch_size=model.batch_size, concurrency=model.max_concurrency)
-    found = predict(population, questions, spec, dict(taxonomy.attributes), ask=ask)
+    found = predict(population, questions, spec, dict(taxonomy.attributes), ask=ask, parts=parts)
     if not ask:
         budget.check(meter, found.calls)
         meter.calls += found.calls

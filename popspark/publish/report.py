@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from datetime import UTC, datetime
 from html import escape
 from pathlib import Path
 
@@ -39,6 +40,11 @@ def html_table(rows: Sequence[Mapping]) -> str:
     return f"<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>"
 
 
+def day(at: datetime | None = None) -> str:
+    """The date of a report, UTC; today's unless given."""
+    return (at or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%d")
+
+
 def _provenance(result: Result) -> list[dict]:
     record = result.record()
     return [{"item": k, "value": record[k]} for k in ("name", "seed", "spec", "population", "key")] + [{"item": k, "value": v} for k, v in record["cost"].items()]
@@ -48,14 +54,14 @@ def _sections(result: Result) -> list[tuple[str, list[dict]]]:
     return [("Answers", result.rows), ("Contrasts", result.contrasts), ("Fit of the population", result.fidelity), ("Provenance", _provenance(result))]
 
 
-def markdown(result: Result) -> str:
-    parts = [f"# {result.spec.name}\n"]
+def markdown(result: Result, at: datetime | None = None) -> str:
+    parts = [f"# {result.spec.name}\n", f"{day(at)}\n"]
     parts += [f"**{arm}**: {text}\n" for arm, text in result.spec.scenario.questions().items()]
     parts += [f"## {title}\n\n{table(rows)}" for title, rows in _sections(result) if rows]
     return "\n".join(parts)
 
 
-def html(result: Result) -> str:
+def html(result: Result, at: datetime | None = None) -> str:
     options = result.spec.scenario.options
     arms = list(result.spec.scenario.questions())
     bars = [(arm, [result.share(o, arm) for o in options]) for arm in arms]
@@ -66,7 +72,7 @@ def html(result: Result) -> str:
         drawn.append(charts.interval_plot([(f"{r['arm']}: {r['option']}", r["difference"], r["low"], r["high"]) for r in result.contrasts], low=-reach, high=reach))
     asked = "".join(f"<p><b>{escape(a)}</b>: {escape(t)}</p>" for a, t in result.spec.scenario.questions().items())
     tables = "".join(f"<h2>{escape(t)}</h2>{html_table(rows)}" for t, rows in _sections(result) if rows)
-    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{escape(result.spec.name)}</title><body><h1>{escape(result.spec.name)}</h1>{asked}{"".join(drawn)}{tables}</body></html>'
+    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{escape(result.spec.name)}</title><body><h1>{escape(result.spec.name)}</h1><p>{day(at)}</p>{asked}{"".join(drawn)}{tables}</body></html>'
 
 
 def publish(result: Result, folder: str | Path | None = None) -> list[Path]:
@@ -82,10 +88,10 @@ def publish(result: Result, folder: str | Path | None = None) -> list[Path]:
     return files
 
 
-def accuracy(board: Sequence[Mapping], gaps: Sequence[Mapping] = (), worst: Sequence[Mapping] = ()) -> str:
+def accuracy(board: Sequence[Mapping], gaps: Sequence[Mapping] = (), worst: Sequence[Mapping] = (), at: datetime | None = None) -> str:
     """The accuracy report: engines best first, wording experiments by size of their gap, the worst questions."""
     columns = [c for c in ("engine", "questions", "mae", "skill_mae", "total_variation", "brier", "ece", "interval_coverage", "gap_mae", "gap_sign", "gap_correlation", "calls") if board and c in board[0]]
-    parts = ["# Accuracy\n", table(sorted(board, key=lambda r: (r["mae"], r["engine"])), columns)]
+    parts = ["# Accuracy\n", f"{day(at)}\n", table(sorted(board, key=lambda r: (r["mae"], r["engine"])), columns)]
     if gaps:
         parts += ["## Wording experiments\n", table(sorted(gaps, key=lambda r: (-abs(r["gap_t"]), r["id"])))]
     if worst:

@@ -9,8 +9,8 @@ from dataclasses import MISSING, asdict, dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
-KINDS = ("hybrid", "llm", "classical", "prior", "uniform")
-PROPAGATORS = ("multinomial_logit", "cell_mean", "mean")
+from .contracts import predictors, propagators
+
 FORMATS = ("json", "markdown", "html")
 
 
@@ -118,8 +118,8 @@ class Predictor:
     provider: Provider = field(default_factory=Provider)
 
     def check(self, place: str) -> None:
-        _need(self.kind in KINDS, place, f"kind is one of {', '.join(KINDS)}")
-        _need(self.propagator in PROPAGATORS, place, f"propagator is one of {', '.join(PROPAGATORS)}")
+        _need(self.kind in predictors.names(), place, f"kind is one of {', '.join(predictors.names())}")
+        _need(self.propagator in propagators.names(), place, f"propagator is one of {', '.join(propagators.names())}")
         _need(self.archetypes >= 1 and self.trait_noise >= 0, place, "archetypes is at least 1, trait_noise not negative")
 
 
