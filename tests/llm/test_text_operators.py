@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -589,6 +590,66 @@ def test_scoring_does_not_depend_on_partitioning(spark, words):
     assert made[0][1] == pytest.approx(made[1][1], rel=1e-6) and made[0][1] == pytest.approx(made[2][1], rel=1e-6)
 
 
+def test_scoring_every_position_teaches(spark):
+    pairs = [f"left{i} right{i}" for i in range(60)]  # a word's embedding moves only where the other one teaches
+    docs = spark.createDataFrame(list(enumerate([*pairs, " ".join(f"long{i}" for i in range(40))])), "doc_id long, text string")
+    before, after = scoring.fit(docs, rounds=0), scoring.fit(docs)
+    at = [before.unit(w) for t in pairs for w in scoring.split(t)]
+    assert len(set(at)) == len(at)
+    moved = before.parts(before.flat)[0][at] != after.parts(after.flat)[0][at]
+    assert moved.any(1).all()
+
+
+def test_scoring_rounds_share_out_all_positions():
+    whole, _ = small_model()
+    rng = np.random.default_rng(5)
+    texts = [(0, rng.integers(0, 40, 70_001), 1), (0, rng.integers(0, 40, 3), 2), (0, np.array([7]), 1), (3, rng.integers(0, 40, 501), 200), (3, np.array([2, 9]), 1)]
+    taught = collections.Counter()
+
+    class Recorded(scoring.Model):
+        def step(self, flat, past, near, truth):
+            assert len(truth) <= scoring.BATCH
+            taught.update(zip(*near.tolist(), truth.tolist(), strict=True))
+            return 0.0
+
+    model = Recorded.__new__(Recorded)
+    model.__dict__ = whole.__dict__
+    held = type("Held", (), {"value": model})
+    batches = [pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([t.astype(model.kind).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["grp", "units", "times"]) for g, t, n in texts]
+    weight = 0.0
+    for turn in range(scoring.ROUNDS):
+        learned = [r for b in scoring._train(held, turn, scoring.ROUNDS)(iter(batches)) for r in b.to_pylist()]
+        assert [r["grp"] for r in learned] == [0, 3]
+        weight += sum(r["weight"] for r in learned)
+    want = collections.Counter()
+    for _, t, n in texts:
+        line, at = model.padded([t])
+        for key in zip(*model.neighbours(line, at).tolist(), line[at].tolist(), strict=True):
+            want[key] += n
+    assert taught == want and weight == sum(want.values())
+
+
+def test_scoring_repeated_rows_teach_as_often(spark, words):
+    rows = [*enumerate(words), *[(5, "one two three four five six seven")] * 300]
+    tokens, made = sum(len((t or "").split()) for _, t in rows), []
+    for n in (1, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        model, counted = scoring.counted(docs)
+        assert counted == tokens
+        assert scoring.train(model, scoring.units(docs, model), tokens, group_tokens=1500) == tokens
+        made.append(model.flat.tobytes())
+    assert made[0] == made[1]
+    groups = tokens // 1500
+    dealt = scoring._dealt(scoring.units(docs, model), groups).where("doc_id = 5 and times > 1").toPandas()
+    assert len(dealt) == groups > 2 and dealt.times.sum() == 300 and np.ptp(dealt.times) <= 1
+
+
+def test_scoring_round_without_positions(spark):
+    docs = spark.createDataFrame([(1, "lonely")], "doc_id long, text string")
+    before, after = scoring.fit(docs, rounds=0), scoring.fit(docs)
+    assert (before.parts(before.flat)[0][5:9] == after.parts(after.flat)[0][5:9]).all()  # not averaged away by no weight
+
+
 def test_scoring_against_brute_force(spark, words, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
     n = collections.Counter(w.encode() for t in words for w in (t or "").lower().split())
